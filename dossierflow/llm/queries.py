@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from dossierflow.llm import chat_format
+from dossierflow.llm import bpe_codec, chat_format
 
 QUERIES = {
+    "op3_bpe_codec": bpe_codec.query,
     "op10_chat_format": chat_format.query,
 }
 
