@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from dossierflow.llm import bpe_codec, chat_format
+from dossierflow.llm import bpe_codec, chat_format, fingerprints, language_id
 
 QUERIES = {
     "op3_bpe_codec": bpe_codec.query,
+    "op6_document_fingerprints": fingerprints.query,
+    "op7_language_id": language_id.query,
     "op10_chat_format": chat_format.query,
 }
 
