@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from dossierflow.llm import bpe_codec, chat_format, fingerprints, language_id
+from dossierflow.llm import bpe_codec, chat_format, fingerprints, language_id, substring_dedup
 
 QUERIES = {
     "op3_bpe_codec": bpe_codec.query,
     "op6_document_fingerprints": fingerprints.query,
     "op7_language_id": language_id.query,
+    "op8_substring_dedup": substring_dedup.query,
     "op10_chat_format": chat_format.query,
 }
 
