@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from dossierflow.llm import bpe_codec, chat_format, fingerprints, language_id, substring_dedup
+from dossierflow.llm import bpe_codec, chat_format, fingerprints, language_id, minhash_dedup, substring_dedup
 
 QUERIES = {
+    "op2_minhash_dedup": minhash_dedup.query,
     "op3_bpe_codec": bpe_codec.query,
     "op6_document_fingerprints": fingerprints.query,
     "op7_language_id": language_id.query,
