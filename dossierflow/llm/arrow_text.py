@@ -26,6 +26,8 @@ def _byte_table(seed: int, fold_ascii: bool) -> np.ndarray:
 _TABLES = {fold: _byte_table(20240229, fold) for fold in (False, True)}
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: All ASCII bytes but letters and digits part words.
+MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -82,11 +84,11 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             begin = end
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words in bytes, and the row of each."""
+def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words in bytes, and the row of each; `separators` says which bytes part words."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    solid = ~_SPACE[data]
+    solid = ~separators[data]
     first = np.zeros(len(data), dtype=bool)
     first[offsets[:-1][offsets[:-1] < len(data)]] = True
     before = np.empty(len(data), dtype=bool)
