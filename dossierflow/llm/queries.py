@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from dossierflow.llm import bpe_codec, chat_format, decontamination, fingerprints, language_id, line_dedup, minhash_dedup, substring_dedup
+from dossierflow.llm import bpe_codec, chat_format, decontamination, fingerprints, language_id, line_dedup, minhash_dedup, substring_dedup, toxicity
 
 QUERIES = {
     "op1_benchmark_decontamination": decontamination.query,
     "op2_minhash_dedup": minhash_dedup.query,
     "op3_bpe_codec": bpe_codec.query,
+    "op4_toxicity": toxicity.query,
     "op6_document_fingerprints": fingerprints.query,
     "op9_line_dedup": line_dedup.query,
     "op7_language_id": language_id.query,
