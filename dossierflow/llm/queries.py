@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from dossierflow.llm import bpe_codec, chat_format, decontamination, fingerprints, language_id, line_dedup, minhash_dedup, substring_dedup, toxicity
+from dossierflow.llm import bpe_codec, chat_format, decontamination, fingerprints, language_id, line_dedup, minhash_dedup, secret_scan, substring_dedup, toxicity
 
 QUERIES = {
     "op1_benchmark_decontamination": decontamination.query,
     "op2_minhash_dedup": minhash_dedup.query,
     "op3_bpe_codec": bpe_codec.query,
     "op4_toxicity": toxicity.query,
+    "op5_secret_scan": secret_scan.query,
     "op6_document_fingerprints": fingerprints.query,
     "op9_line_dedup": line_dedup.query,
     "op7_language_id": language_id.query,
