@@ -1,4 +1,4 @@
-"""Connected components of an edge table, by label propagation with pointer jumping on DataFrames only."""
+"""Connected components of an edge table by contraction, on DataFrames only."""
 
 from __future__ import annotations
 
@@ -9,21 +9,28 @@ from dossierflow.llm.durable import cut
 
 
 def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
-    """(id, component): for each id in an edge the least id that it can reach.
+    """(id, component): for each id in an edge between two different ids the least id that it can reach.
 
-    Each round gives a node the least label among its own and its neighbours', then replaces a label by the label
-    of the node it names; the distance to the least node at least halves, so rounds grow with its logarithm.
-    Every round is written to the shared folder, so lineage stays short.
+    Each round points every node at its least neighbour (or itself), follows the pointers once more, and contracts
+    the edges to what is left between different nodes. Every node with a smaller neighbour goes, so rounds grow with
+    the logarithm of the longest chain, and edges inside a finished group are not read again. Every round is written
+    to the shared folder, so lineage stays short.
     """
-    pairs = edges.select(F.col(left).alias("a"), F.col(right).alias("b")).where("a <> b")
-    both = cut(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = cut(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("id"), F.least("a", "least").alias("component")), "labels")
+    flat = edges.select(F.least(left, right).alias("a"), F.greatest(left, right).alias("b")).where("a <> b")
+    open_ = cut(flat.distinct(), "edges")
+    labels = None
     while True:
-        near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        spread = labels.join(near, "id").select("id", F.col("component").alias("before"), F.least("component", "near").alias("component"))
-        named = labels.select(F.col("id").alias("component"), F.col("component").alias("further"))
-        jumped = cut(spread.join(named, "component", "left").select("id", "before", F.least("component", F.coalesce("further", "component")).alias("component")), "labels")
-        moved = jumped.where("before <> component").limit(1).count()
-        labels = jumped.select("id", "component")
-        if not moved:
+        ends = open_.unionByName(open_.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = ends.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("near")).select("id", F.least("id", "near").alias("up"))
+        further = least.select(F.col("id").alias("up"), F.col("up").alias("top"))
+        step = cut(least.join(further, "up").select("id", "top"), "labels")
+        if labels is None:
+            labels = step.withColumnRenamed("top", "component")
+        else:
+            moved = labels.join(step.withColumnRenamed("id", "component"), "component", "left")
+            labels = cut(moved.select("id", F.coalesce("top", "component").alias("component")), "labels")
+        ended = lambda k: step.select(F.col("id").alias(k), F.col("top").alias(f"{k}_top"))
+        left_over = open_.join(ended("a"), "a").join(ended("b"), "b").where("a_top <> b_top")
+        open_ = cut(left_over.select(F.least("a_top", "b_top").alias("a"), F.greatest("a_top", "b_top").alias("b")).distinct(), "edges")
+        if open_.isEmpty():
             return labels
