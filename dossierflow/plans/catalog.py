@@ -1,13 +1,8 @@
-"""All registered queries over the reference tables, with the SQL each is checked against."""
+"""All registered queries over the given tables, with the SQL each is checked against."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from dossierflow.plans import entity_queries, inventory_queries, text_queries  # noqa: F401
+from dossierflow.plans.registry import ORACLES, QUERIES  # noqa: F401
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-FLAGSHIP = "C2_classify"
+FLAGSHIP = "A5_category_counts"
