@@ -229,3 +229,31 @@ def s12(spark, sf_dir):
     from dossierflow.operators.documents import invoices
 
     return invoices(read_table(spark, sf_dir, "orders"), read_table(spark, sf_dir, "lineitem"), read_table(spark, sf_dir, "customer"))
+
+
+@query(
+    "T2_throttle",
+    """WITH RECURSIVE e AS (SELECT user_id, CAST(floor(epoch(ts)) AS DOUBLE) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+fold AS (SELECT user_id, k, t AS last, true AS ok FROM e WHERE k = 1 UNION ALL
+ SELECT e.user_id, e.k, CASE WHEN e.t - f.last >= 86400 THEN e.t ELSE f.last END, e.t - f.last >= 86400 FROM fold f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1)
+SELECT user_id, last AS at FROM fold WHERE ok""",
+)
+def t2(spark, sf_dir):
+    from dossierflow.streaming.watch import throttled
+
+    events = read_table(spark, sf_dir, "events").select("user_id", F.unix_timestamp("ts").cast("double").alias("at"))
+    return throttled(events, "user_id", "at", 86400.0)
+
+
+@query("T3_content_dedup", "SELECT sha256(text) AS sha256, count(*) > 0 AS fresh FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 5 = 0) GROUP BY 1")
+def t3(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").withColumn("sha256", F.sha2("text", 256))
+    fresh = docs.dropDuplicates(["sha256"]).join(docs.where("doc_id % 5 = 0").select("sha256"), "sha256", "left_anti")
+    return fresh.select("sha256", F.lit(True).alias("fresh"))
+
+
+@query("T7_stalled_runs", with_runs(f"SELECT status, count(*) AS n FROM (SELECT CASE WHEN status = 'running' AND coalesce(heartbeat_s, start_s) < {NOW_S} - 300 THEN 'interrupted' ELSE status END AS status FROM runs) GROUP BY 1"))
+def t7(spark, sf_dir):
+    from dossierflow.operators.filters import interrupted
+
+    return runs(spark, sf_dir).groupBy(F.when(interrupted(NOW_S - 300), "interrupted").otherwise(F.col("status")).alias("status")).agg(F.count("*").alias("n"))

@@ -144,3 +144,10 @@ def x23(spark, sf_dir):
     pages = F.greatest(F.lit(1), F.floor(F.col("n_chars") / 1800))
     q = lambda per: F.round(F.least(F.lit(1.0), F.col("n_chars") / (F.lit(float(per)) * pages)), 4)
     return read_table(spark, sf_dir, "documents").select("doc_id", q(50).alias("text_quality"), q(200).alias("ocr_quality"))
+
+
+@query("X30_html_text")
+def x30(spark, sf_dir):
+    from dossierflow.sources.extract import html_to_text
+
+    return html_to_text(read_table(spark, sf_dir, "pages")).select("page_id", F.char_length("text").alias("n_chars"), F.sha2("text", 256).alias("sha256"))
