@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from dossierflow.llm.arrow_text import MARKS, buffers, gram_hashes, ranges, slices, word_hashes, words
 from dossierflow.session import read_table
@@ -189,6 +190,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_column: str = "item_id")
     """doc_id, item_id, score, question_overlap, answer_overlap: each document with an item that it holds."""
     id_type = items.schema[id_column].dataType.simpleString()
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {id_column} {id_type}, score double, question_overlap double, answer_overlap double"
+    id_arrow = to_arrow_type(items.schema[id_column].dataType)
     texts, parts = docs.select("doc_id", "text"), []
     for index in _indexes(items, id_column):
         shared = docs.sparkSession.sparkContext.broadcast(index)
@@ -199,7 +201,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_column: str = "item_id")
                 found = list(shared.value.search(hashes, rows)) if len(hashes) else []
                 if found:
                     at, item, score, asked, said = zip(*found, strict=True)
-                    ids = pa.array([shared.value.ids[i] for i in item])
+                    ids = pa.array([shared.value.ids[i] for i in item], id_arrow)
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), ids, pa.array(score), pa.array(asked), pa.array(said)], ["doc_id", id_column, "score", "question_overlap", "answer_overlap"])
 
         parts.append(texts.mapInArrow(run, schema))

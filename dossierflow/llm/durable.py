@@ -13,11 +13,12 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset (tests, local runs) a folder of our own is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """spark.checkpoint.dir of the session, or the context's checkpoint folder; where neither is set (tests, local
+    runs) a folder of our own is set."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='dossierflow-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='dossierflow-')}")
+        found = spark.sparkContext.getCheckpointDir()
     return found
 
 

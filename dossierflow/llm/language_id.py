@@ -189,7 +189,7 @@ def _sample(docs: DataFrame) -> DataFrame:
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(), F.lit(True))).select("doc_id", "text", "lang")
     sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
-        return labelled.limit(0)
+        return labelled.withColumn("draw", F.lit(0.0)).limit(0)
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, TRAIN_DOCS / n))])
     draw = F.pmod(F.xxhash64("doc_id", F.lit("language id")), F.lit(1 << 20)) / (1 << 20)
     return labelled.withColumn("draw", draw / share[F.col("lang")]).where("draw < 1")
