@@ -228,7 +228,8 @@ def train(docs: DataFrame) -> Model:
     usual = seen.groupBy("lang").agg((F.sum(F.col("far") * F.col("size")) / F.sum("size")).alias("level"))
     over = seen.join(F.broadcast(usual), "lang").groupBy("lang").agg(F.first("level").alias("level"), F.max((F.col("far") - F.col("level")) * F.sqrt("size")).alias("spread"))
     found = {r.lang: (r.level, r.spread) for r in over.collect()}
-    level = np.array([found[x][0] * 1.5 if x in found else np.inf for x in lm.langs])
+    # Never below most of what evenly random symbols cost, so a fit on few documents doesn't reject clean ones.
+    level = np.array([max(found[x][0] * 1.5, -0.85 * lm.floor) if x in found else np.inf for x in lm.langs])
     spread = np.array([2 * max(found[x][1], 4.0) if x in found else 0.0 for x in lm.langs])
     return Model(lm, level, spread)
 
