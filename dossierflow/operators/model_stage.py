@@ -62,14 +62,12 @@ def parse(answered: DataFrame) -> DataFrame:
     )
 
 
-def canned(prompts: DataFrame, responses: DataFrame, text: str = "prompt") -> DataFrame:
-    """Prompts with the first response in order whose prefix they begin with; without one the response is null.
+def canned(prompts: DataFrame, responses: DataFrame, key: str = "doc_id", text: str = "prompt") -> DataFrame:
+    """(key, response): the first response in order whose prefix the prompt begins with; without one it is null.
 
-    `responses` (ord, prefix, response) is a small hand-written table, so it is joined by broadcast on the prefix's
-    first characters; its size is checked.
+    `responses` (ord, prefix, response) is a small hand-written table, so it is joined by broadcast; its size is checked.
     """
     if responses.limit(10_001).count() > 10_000:
         raise ValueError("more than 10,000 canned responses: join them by an exact key instead")
-    fits = F.startswith(F.col(text), F.col("prefix"))
-    joined = prompts.join(F.broadcast(responses), fits, "left")
-    return joined.groupBy(*prompts.columns).agg(F.min_by("response", "ord").alias("response"))
+    joined = prompts.join(F.broadcast(responses), F.startswith(F.col(text), F.col("prefix")), "left")
+    return joined.groupBy(key).agg(F.min_by("response", "ord").alias("response"))

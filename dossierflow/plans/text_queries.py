@@ -112,8 +112,8 @@ def j16(spark, sf_dir):
 @query("J18_S25_canned", "SELECT doc_id, CASE WHEN starts_with(text, 'The ') THEN 'one' WHEN starts_with(text, 'Th') THEN 'two' WHEN starts_with(text, 'E') THEN 'three' END AS response FROM documents")
 def j18(spark, sf_dir):
     responses = spark.createDataFrame([(1, "The ", "one"), (2, "Th", "two"), (3, "E", "three")], "ord int, prefix string, response string")
-    asked = read_table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 40).alias("prompt"))
-    return model_stage.canned(asked, responses).select("doc_id", "response")
+    asked = read_table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("prompt"))
+    return model_stage.canned(asked, responses)
 
 
 @query("C5_C6_model_answers", with_inv("SELECT doc_id AS key, CASE WHEN doc_id // 20 % 4 = 0 THEN 'da-chiarire' WHEN doc_id % 2 = 0 THEN 'da-consultare' ELSE 'da-chiarire' END AS category, CASE WHEN doc_id // 20 % 4 <> 0 AND doc_id % 2 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS confidence FROM inv"))
