@@ -29,7 +29,7 @@ from dossierflow.session import read_table
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words kept per Python worker before the cache starts anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
 
@@ -189,25 +189,29 @@ def decode(docs: DataFrame, path: str | None = None, column: str = "token_ids",
     return kept.mapInArrow(run, kept.withColumn(out, F.lit("")).schema)
 
 
-def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: encoding and decoding in one pass, so ids stay in the worker."""
+def digests(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = (), with_ids: bool = False) -> DataFrame:
+    """doc_id, the columns in `keep`, n_tokens, token_ids if asked for, ids_sha256 and decoded_sha256.
+
+    Encoding and decoding share one pass and one worker, so that each task holds one codec and one word cache.
+    """
     vocabulary = _shared_vocabulary(docs.sparkSession, path)
+    rows = docs.select("doc_id", "text", *keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocabulary.value)
         for batch in slices(batches):
             ids = own.encode(batch.column(1).fill_null("").to_pylist())
             hashed = lambda x: hashlib.sha256(x).hexdigest()
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc_id": batch.column(0),
-                    "n_tokens": pa.array([len(i) // 4 for i in ids], pa.int64()),
-                    "ids_sha256": pa.array(map(hashed, ids), pa.string()),
-                    "decoded_sha256": pa.array([hashed(own.decode(i).encode()) for i in ids], pa.string()),
-                }
-            )
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            out = {"doc_id": batch.column(0)} | {c: batch.column(2 + k) for k, c in enumerate(keep)}
+            out["n_tokens"] = pa.array([len(i) // 4 for i in ids], pa.int64())
+            if with_ids:
+                out["token_ids"] = pa.array(ids, pa.binary())
+            out["ids_sha256"] = pa.array(map(hashed, ids), pa.string())
+            out["decoded_sha256"] = pa.array([hashed(own.decode(i).encode()) for i in ids], pa.string())
+            yield pa.RecordBatch.from_pydict(out)
+
+    added = [F.lit(0).cast("long").alias("n_tokens"), *[F.lit(b"").alias("token_ids")] * with_ids, F.lit("").alias("ids_sha256"), F.lit("").alias("decoded_sha256")]
+    return rows.mapInArrow(run, rows.select("doc_id", *keep, *added).schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
