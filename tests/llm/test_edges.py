@@ -262,6 +262,15 @@ def test_line_dedup(spark, docs, empty):
     assert line_dedup.dedup_lines(docs).count() == docs.count()
 
 
+def test_line_dedup_of_noise_copies(spark):
+    """One line a document: punctuation, tabs and a carriage return make no difference."""
+    same = ["and anheon ingan ofthe", "and | anheon | ingan, ofthe", "And\tanheon\tingan ofthe\r", "and anheon ingan ofthe.%%%"]
+    apart = ["0123 4567 89012345", "7654 3210 54321098", "=================", "-----------------", "a 1234567890123456", "b 6543210987654321"]
+    table = spark.createDataFrame(list(enumerate([*same, *apart, apart[0], apart[2]])), "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(table).collect()}
+    assert [got[i] for i in range(12)] == [0, 1, 1, 1] + [0] * 6 + [1, 1]
+
+
 def test_line_edit_distance_after_trimming(spark):
     rng = random.Random(9)
 
