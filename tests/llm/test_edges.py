@@ -271,6 +271,46 @@ def test_line_dedup_of_noise_copies(spark):
     assert [got[i] for i in range(12)] == [0, 1, 1, 1] + [0] * 6 + [1, 1]
 
 
+def test_line_dedup_against_all_pairs(spark):
+    """Lines edited by the letter, the word and the number: all pairs of similarity 0.85 or more, by brute force."""
+    rng = random.Random(11)
+    syllables = [a + b for a in "bcdfglmnprst" for b in ("a", "e", "io", "un", "or")]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randrange(1, 5)))
+
+    def similar(a, b):
+        limit, prev = int(max(len(a), len(b)) * 0.15 + 1e-9), list(range(len(b) + 1))
+        for i, c in enumerate(a, 1):
+            cur = [i]
+            for j, d in enumerate(b, 1):
+                cur.append(min(prev[j] + 1, cur[-1] + 1, prev[j - 1] + (c != d)))
+            prev = cur
+        return prev[-1] <= limit
+
+    pairs = []
+    for k in range(600):
+        a = [word() for _ in range(rng.choice([4, 5, 8, 12, 20, 40]))] + [str(rng.randrange(100, 1000))]
+        b, kind = list(a), k % 4
+        if kind == 0:
+            b[-1] = str(rng.randrange(100, 1000))
+        elif kind == 1:
+            b[rng.randrange(len(b) - 1)] = word()
+        else:
+            letters = list(" ".join(b))
+            for _ in range(int(len(letters) * (0.05, 0.13)[kind - 2])):
+                at = rng.randrange(len(letters))
+                letters[at : at + 1] = rng.choice(["", "q", letters[at] + "x"])
+            b = "".join(letters).split()
+        pairs.append((kind, " ".join(a), " ".join(b)))
+    pairs = [(k, a, b) for k, a, b in pairs if a != b and min(len(a), len(b)) >= 16]
+    table = spark.createDataFrame([(2 * i + j, x) for i, p in enumerate(pairs) for j, x in enumerate(p[1:])], "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(table).collect()}
+    near = [similar(a, b) for _, a, b in pairs]
+    assert all(got[2 * i] == 0 and (near[i] or not got[2 * i + 1]) for i in range(len(pairs)))
+    for kind in range(4):
+        found = [got[2 * i + 1] for i, p in enumerate(pairs) if p[0] == kind and near[i]]
+        assert len(found) > 40 and sum(found) >= 0.9 * len(found)
+
+
 def test_line_edit_distance_after_trimming(spark):
     rng = random.Random(9)
 
