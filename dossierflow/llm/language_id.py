@@ -4,8 +4,9 @@ Highest-order character n-gram counts come from a Spark job over a bounded sampl
 documents (TRAIN_DOCS a language, chosen by a hash of doc_id); lower orders use continuation counts, as Kneser-Ney
 asks. The packed n-grams of all languages share one sorted array per order, with a row of log probabilities (one
 column a language) beside it. A text gets the language of the lowest cross-entropy per character. Rejection is
-calibrated on sample documents that the counts have not seen: a text is rejected if its cross-entropy lies above
-all that was seen for its language, with a margin and an allowance that shrinks with the root of its length.
+calibrated on sample documents that the counts have not seen: a text is rejected if its cross-entropy lies a tenth
+above what 99 of 100 of these cost, with an allowance that shrinks with the root of its length; a language with fewer
+than CALIBRATE_DOCS of them has a wide limit.
 
 Defined cases: null text or a text without a letter is `und` and rejected, with score 0; null languages are not
 learned; with no labelled rows every text is `und`. Other columns are passed through by `identify`.
@@ -28,6 +29,8 @@ from dossierflow.session import read_table
 ORDER = 4
 #: Bounds of the fit: documents sampled a language, and n-grams of the highest order kept a language.
 TRAIN_DOCS, MAX_GRAMS = 1500, 200_000
+#: Held-aside documents a language from which on the calibration stands alone.
+CALIBRATE_DOCS = 25
 UND = "und"
 _SPACE_CODE = 32
 
@@ -221,15 +224,16 @@ def train(docs: DataFrame) -> Model:
         for batch in slices(batches):
             codes, at, _ = symbols(*buffers(batch.column(0)))
             far = shared.value.cross_entropy(codes, at)
-            own = [shared.value.langs.index(x) if x in shared.value.langs else 0 for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"lang": batch.column(1), "far": pa.array(far[np.arange(len(far)), own]), "size": pa.array(np.diff(at))})
+            yield pa.RecordBatch.from_pydict({"lang": batch.column(1), "far": pa.array(far.min(axis=1)), "size": pa.array(np.diff(at))})
 
     seen = calibrate.select("text", "lang").mapInArrow(measure, "lang string, far double, size long").where("size > 0")
     usual = seen.groupBy("lang").agg((F.sum(F.col("far") * F.col("size")) / F.sum("size")).alias("level"))
-    over = seen.join(F.broadcast(usual), "lang").groupBy("lang").agg(F.first("level").alias("level"), F.max((F.col("far") - F.col("level")) * F.sqrt("size")).alias("spread"))
-    found = {r.lang: (r.level, r.spread) for r in over.collect()}
-    # Never below most of what evenly random symbols cost, so a fit on few documents doesn't reject clean ones.
-    level = np.array([max(found[x][0] * 1.5, -0.85 * lm.floor) if x in found else np.inf for x in lm.langs])
+    beyond = (F.col("far") - F.col("level")) * F.sqrt("size")
+    over = seen.join(F.broadcast(usual), "lang").groupBy("lang").agg(F.percentile("far", 0.99).alias("most"), F.percentile(beyond, 0.95).alias("spread"), F.count("*").alias("n"))
+    found = {r.lang: (r.most, r.spread, r.n) for r in over.collect()}
+    # With few held-aside documents never below most of what evenly random symbols cost, so a small fit doesn't reject clean ones.
+    least = lambda n: 0.0 if n >= CALIBRATE_DOCS else -0.85 * lm.floor
+    level = np.array([max(found[x][0] * 1.1, least(found[x][2])) if x in found else np.inf for x in lm.langs])
     spread = np.array([2 * max(found[x][1], 4.0) if x in found else 0.0 for x in lm.langs])
     return Model(lm, level, spread)
 

@@ -218,6 +218,13 @@ def test_language_id(spark, docs, empty):
     assert {r.lang_pred for r in language_id.identify(docs, blank).collect()} == {"und"}
 
 
+def test_language_left_out_of_training_is_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang IN ('en', 'fr')")
+    model = language_id.train(docs.where("lang = 'en'"))
+    got = {r.lang: r.share for r in language_id.identify(docs, model).groupBy("lang").agg(F.avg(F.col("lang_rejected").cast("int")).alias("share")).collect()}
+    assert got["fr"] >= 0.9 and got["en"] <= 0.01
+
+
 def test_kneser_ney_sums_to_one():
     codes, at, _ = language_id.symbols(*arrow_text.buffers(pa.array(["the cat sat on the mat and the hat"])))
     keys, n = np.unique(language_id.grams(codes, at), return_counts=True)
