@@ -1,7 +1,9 @@
 """Secret scans (operator 5): candidate strings, kept or dropped by a random forest.
 
 Candidates are words of MIN_CHARS characters or more that hold a digit, an assignment, or follow one; the value is
-cut from quotes and `name=` in front of it. The forest judges each by its length, its character transitions, how much of it
+cut from quotes and `name=` in front of it. Where signs part such a word further (quotes, brackets, `,;&?@`, or name and
+value), each part of MIN_CHARS characters or more with a digit or after a name is a candidate too, beside the whole up to
+WHOLE_CHARS characters; its neighbours are the parts next to it. The forest judges each by its length, its character transitions, how much of it
 dictionary words cover, the path it comes from and its neighbouring words. It is trained in numpy on labelled
 findings: a table (value, before, after, path, secret) if one is given, else `labelled_findings`, a seeded set made by rule.
 
@@ -27,6 +29,8 @@ from dossierflow.llm.arrow_text import buffers, slices, words
 from dossierflow.session import read_table
 
 MIN_CHARS, NEAR = 8, 4
+#: A word that signs part is a candidate as a whole up to this length.
+WHOLE_CHARS = 200
 TREES, DEPTH, LEAF, TRAIN_ROWS = 25, 8, 4, 6000
 CUTOFF = 0.5
 #: Words that speak for and against a secret nearby, and common parts of plain words.
@@ -41,6 +45,7 @@ PATHS = re.compile(r"test|example|sample|docs?/|fixture|mock|vendor|\.lock|\.md$
 _NAME = re.compile(r"(?i)\b[\w.-]*(?:" + "|".join(NAMES) + r")[\w.-]*[\"']?\s*$")
 _VALUE = re.compile(r"^[\"'(\[{<]*(?:([\w.-]+)[\"']?\s*[:=]+\s*[\"']?)?(.*?)[\"')\]}>,;.!?]*$")
 _KINDS = (("aws_key", re.compile(r"^AKIA[0-9A-Z]{16}$")), ("github", re.compile(r"^gh[pousr]_\w{20,}$")), ("jwt", re.compile(r"^eyJ[\w-]+\.[\w-]+")), ("hex", re.compile(r"^[0-9a-fA-F]{12,}$")))
+_PART = re.compile(r"[^\"'`,;&?@(){}\[\]<>|\\:=]+(?:=+(?=$|[\"'`,;&?@(){}\[\]<>|\\]))?")
 _HARD = re.compile(r"[0-9=]")
 
 
@@ -196,11 +201,20 @@ def candidates(column: pa.Array) -> Iterator[tuple[int, int, str, str, str]]:
             last -= 1
         whole = raw[starts[i] : ends[i]].decode("utf-8", "replace")
         found = _VALUE.match(whole)
-        value = found[2]
-        if len(value) < MIN_CHARS:
-            continue
-        lead = whole[: found.start(2)]
-        yield int(rows[i]), int(starts[i]) + len(lead.encode()), value, raw[starts[first] : starts[i]].decode("utf-8", "replace") + lead, raw[ends[i] : ends[last - 1]].decode("utf-8", "replace")
+        value, (begin, end) = found[2], found.span(2)
+        before, after = raw[starts[first] : starts[i]].decode("utf-8", "replace"), raw[ends[i] : ends[last - 1]].decode("utf-8", "replace")
+        parts = [m.span() for m in _PART.finditer(whole)]
+        inner = [k for k, (x, y) in enumerate(parts) if y - x >= MIN_CHARS and (x, y) != (begin, end)]
+        if len(value) >= MIN_CHARS and (len(value) <= WHOLE_CHARS or not inner):
+            yield int(rows[i]), int(starts[i]) + len(whole[:begin].encode()), value, before + whole[:begin], after
+        behind, seen = 0, 0
+        for k in inner:
+            x, y = parts[k]
+            behind, seen = behind + len(whole[seen:x].encode()), x
+            lead = whole[parts[k - 1][0] if k else 0 : x]
+            if not _HARD.search(whole[x:y]) and not lead.rstrip("\"'").endswith((":", "=")):
+                continue
+            yield int(rows[i]), int(starts[i]) + behind, whole[x:y], lead if k else before + lead, whole[y : parts[k + 1][1]] if k + 1 < len(parts) else whole[y:] + after
 
 
 def kind_of(value: str, before: str) -> str:
