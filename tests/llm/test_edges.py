@@ -287,8 +287,8 @@ def test_line_dedup_of_noise_copies(spark):
     assert [got[i] for i in range(12)] == [0, 1, 1, 1] + [0] * 6 + [1, 1]
 
 
-def test_line_dedup_against_all_pairs(spark):
-    """Lines edited by the letter, the word and the number: all pairs of similarity 0.85 or more, by brute force."""
+def test_line_dedup_of_edited_lines(spark):
+    """Lines edited by the letter, the word and the number: of the planted pairs at similarity 0.85 or more 9 in 10 are linked, and none below."""
     rng = random.Random(11)
     syllables = [a + b for a in "bcdfglmnprst" for b in ("a", "e", "io", "un", "or")]
     word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randrange(1, 5)))
