@@ -271,9 +271,11 @@ def test_substring_dedup_against_brute_force(docs, rows, empty):
 def test_line_dedup(spark, docs, empty):
     line = "The quick brown fox jumps over the lazy dog near the river bank at dawn every single day of the year"
     table = spark.createDataFrame([(1, line + "\nshort\n" + line.upper()), (2, "short\n" + line.replace(" ", "  ")), (3, None), (4, ""), (None, line)], "doc_id long, text string").withColumns({"uid": F.lit("clash"), "n_chars": F.lit(0)})
-    got = {r.doc_id: r for r in line_dedup.dedup_lines(table).collect()}
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(table, min_chars=16).collect()}
     assert got[1].text == "short" and got[2].text == "short" and got[3].text is None and got[4].text == "" and got[None].text == line
     assert got[1].n_removed == 2 and got[1].n_chars == 5 and got[1].uid == "clash"
+    every = {r.doc_id: r.text for r in line_dedup.dedup_lines(table).collect()}
+    assert every == {1: "short", 2: "", 3: None, 4: "", None: line}
     assert line_dedup.dedup_lines(empty).count() == 0
     assert line_dedup.dedup_lines(docs).count() == docs.count()
 
@@ -348,9 +350,9 @@ def test_line_edit_distance_after_trimming(spark):
             b[at : at + rng.randrange(2)] = ["new"] * rng.randrange(2)
         if a != b:
             pairs.append((2 * k, " ".join(a), 2 * k + 1, " ".join(b)))
-    texts = spark.createDataFrame([x for p in pairs for x in (p[:2], p[2:])], "id long, text string").selectExpr("id", "id AS uid", "0 AS line", "text")
+    texts = spark.createDataFrame([x for p in pairs for x in (p[:2], p[2:])], "id long, norm string")
     cand = spark.createDataFrame([(p[0], p[2]) for p in pairs], "a long, b long")
-    got = {(r.a, r.b) for r in line_dedup._confirmed(cand, texts.select("id", "uid", "line"), texts).collect()}
+    got = {(r.a, r.b) for r in line_dedup._confirmed(cand, texts).collect()}
     assert got == {(p[0], p[2]) for p in pairs if lev(p[1], p[3]) <= int(max(len(p[1]), len(p[3])) * 0.15 + 1e-9)}
 
 
