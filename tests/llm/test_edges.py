@@ -350,7 +350,7 @@ def test_line_edit_distance_after_trimming(spark):
             b[at : at + rng.randrange(2)] = ["new"] * rng.randrange(2)
         if a != b:
             pairs.append((2 * k, " ".join(a), 2 * k + 1, " ".join(b)))
-    texts = spark.createDataFrame([x for p in pairs for x in (p[:2], p[2:])], "id long, norm string")
+    texts = spark.createDataFrame([x for p in pairs for x in (p[:2], p[2:])], "id long, norm string").selectExpr("id", "split(norm, ' ') AS words", "char_length(norm) AS chars")
     cand = spark.createDataFrame([(p[0], p[2]) for p in pairs], "a long, b long")
     got = {(r.a, r.b) for r in line_dedup._confirmed(cand, texts).collect()}
     assert got == {(p[0], p[2]) for p in pairs if lev(p[1], p[3]) <= int(max(len(p[1]), len(p[3])) * 0.15 + 1e-9)}
