@@ -329,6 +329,24 @@ def test_line_dedup_of_edited_lines(spark):
         assert len(found) > 40 and sum(found) >= 0.9 * len(found)
 
 
+def test_line_links_of_the_table_against_brute_force(spark):
+    """All lines of the smallest table: pairs at similarity 0.85 or more are in one group, found by comparing every pair."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").withColumn("uid", F.xxhash64("doc_id", "text"))
+    first = line_dedup._lines(docs, 1).where("trim(raw) <> ''").groupBy("r1", "r2").agg(F.first("raw").alias("raw")).withColumn("id", F.monotonically_increasing_id())
+    classes = spark.createDataFrame(first.collect(), first.schema)
+    words = line_dedup.with_words(classes).select("id", "words", "chars")
+    x, y = words.alias("x"), words.alias("y")
+    limit = F.floor(F.col("y.chars") * 0.15 + 1e-9).cast("int")
+    joined = lambda k: F.array_join(f"{k}.words", " ")
+    # Letters that one line has more often bound the distance from below.
+    spare = lambda a, b: F.char_length(F.array_join(F.filter(F.split(joined(a), ""), lambda c: ~F.array_contains(F.split(joined(b), ""), c)), ""))
+    near = x.join(y, (F.col("x.id") != F.col("y.id")) & (F.col("x.chars") <= F.col("y.chars")) & (F.col("y.chars") - F.col("x.chars") <= limit) & (spare("y", "x") <= limit))
+    want = near.where(F.call_function("levenshtein", joined("x"), joined("y"), limit) >= 0).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).collect()
+    group = {r.id: r.component for r in line_dedup._groups(classes, docs).collect()}
+    found = sum(group.get(r.a, -1) == group.get(r.b, -2) for r in want)
+    assert len(want) > 20 and found >= 0.9 * len(want)
+
+
 def test_line_edit_distance_after_trimming(spark):
     rng = random.Random(9)
 
