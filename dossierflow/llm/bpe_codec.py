@@ -6,8 +6,13 @@ rank is applied at all its positions, the lists of the neighbouring pairs are up
 left. Results are kept per word in a bounded cache of the Python worker.
 
 Normalisation and splitting follow the vocabulary file (NFC, lower case, letters / single digits / other marks,
-byte symbols, word-end suffix); the two special tokens are taken verbatim before that. Defined cases: null text is
-empty and has no ids; other columns are passed through by `encode` and `decode`.
+byte symbols, word-end suffix); the two special tokens are taken verbatim before that. Letters, numbers and lower case
+are those of the library's Unicode tables, whatever the tables of `regex` and Python; single code points are tested
+against it, sequences that only NFC of Unicode 16.0 composes are not.
+
+Defined cases: null and empty text have no ids; a text of any length is encoded whole, as a slice of its own beyond a
+mebibyte; repeated rows give repeated rows; an empty table gives an empty table; ties of one rank are merged from left
+to right; other columns are passed through by `encode` and `decode`, one that is named like their output is replaced.
 """
 
 from __future__ import annotations
@@ -32,6 +37,23 @@ VOCABULARY = "word_bpe_49k.json"
 CACHE_WORDS = 300_000
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
+#: Code points that newer tables count as letters or numbers, but Unicode 16.0, which the library splits by, does not.
+_LATER = """
+558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7
+10ED9-10EEE 11B0A 11DB0-11DDB 11DE0-11DE9 11DF1 1246F 12475-1247F 12550-12686 16EA0-16EB8 16EBB-16ED3 16FF2-16FF6
+187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81
+1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E
+2CEA2-2CEAD 323B0-33479 3D000-3FC3F
+"""
+#: Lower-case forms that Python's tables may lack (upper range and first lower form), from Unicode 16.0 and 17.0.
+_LOWER = {(0x1C89, 0x1C89): 0x1C8A, (0xA7CB, 0xA7CB): 0x264, (0xA7CC, 0xA7CC): 0xA7CD, (0xA7CE, 0xA7CE): 0xA7CF, (0xA7D2, 0xA7D2): 0xA7D3, (0xA7D4, 0xA7D4): 0xA7D5,
+          (0xA7DA, 0xA7DA): 0xA7DB, (0xA7DC, 0xA7DC): 0x19B, (0x10D50, 0x10D65): 0x10D70, (0x16EA0, 0x16EB8): 0x16EBB}
+_later = "".join("-".join(f"\\U{int(x, 16):08x}" for x in part.split("-")) for part in _LATER.split())
+_FOLD = {code: low + code - first for (first, last), low in _LOWER.items() for code in range(first, last + 1)}
+#: Texts without any of these characters, nearly all, are split by the plain pattern.
+_ODD = regex.compile("[" + _later + "".join(map(chr, _FOLD)) + "]")
+_SPLIT_ODD = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{_later}]]+|[\p{{N}}--[{_later}]]|[^\s[\p{{L}}\p{{N}}--[{_later}]]]+")
+
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
@@ -64,8 +86,11 @@ class Codec:
         self.cache: dict[str, bytes] = {}
 
     def words(self, text: str) -> list[str]:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        if text.isascii():
+            return _SPLIT.findall(text.lower())
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        if _ODD.search(text):
+            return _SPLIT_ODD.findall(text.translate(_FOLD).lower())
         return _SPLIT.findall(text.lower())
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:

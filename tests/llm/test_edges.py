@@ -146,6 +146,18 @@ def test_bpe_against_library(spark, docs, empty):
     assert out.count() == docs.count() and bpe_codec.digests(empty).count() == 0
 
 
+def test_bpe_on_every_code_point():
+    tokenizers = pytest.importorskip("tokenizers")
+    library = tokenizers.Tokenizer.from_file(bpe_codec.vocabulary_path())
+    with open(bpe_codec.vocabulary_path(), "rb") as f:
+        own = bpe_codec.Codec(f.read())
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for begin in range(0, len(points), 50_000):
+        texts = [f"a{chr(c)}1{chr(c)}.{chr(c)}" for c in points[begin : begin + 50_000]]
+        want = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
+        assert own.encode(texts) == want
+
+
 # ---------------------------------------------------------------- 4, 5
 
 
