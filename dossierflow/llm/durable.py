@@ -13,10 +13,12 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session, or the context's checkpoint folder; where neither is set (tests, local
-    runs) a folder of our own is set."""
+    """spark.checkpoint.dir of the session, or the context's checkpoint folder; where neither is set, a folder of our own
+    in local mode. On a cluster executors could not share that, so there it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='dossierflow-')}")
         found = spark.sparkContext.getCheckpointDir()
     return found
