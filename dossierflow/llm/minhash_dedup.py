@@ -13,7 +13,8 @@ again with the next seed, so short texts have full sketches too.
 3. A candidate is dropped if its collision-corrected Jaccard estimate lies far below the threshold
    (SLACK, over five standard deviations); the rest are confirmed on the full sets.
 
-With 32 bands of 4 registers a pair at Jaccard 0.75 stays unseen with probability 6e-6.
+With 32 bands of 4 registers a pair at Jaccard 0.75 stays unseen with probability 6e-6. Sets count as equal in step 1 if
+their sizes and two 64-bit sums over mixed shingle hashes are equal, 128 bits besides the size.
 Defined cases: a text without words or null has an empty set, no links and is its own component; fewer than five
 words are one shingle; a row with a null doc_id takes no part in linking and is kept; repeated rows are one document
 and are all returned (doc_id is otherwise a key); other columns are ignored.
@@ -39,6 +40,8 @@ REGISTERS, ROWS, MANTISSA = 128, 4, 10
 SLACK = 0.2
 #: Ids of candidate documents are broadcast up to this many, beyond it they are joined by a shuffle.
 BROADCAST_IDS = 500_000
+#: Shingles of one part of a cluster, and bytes of the incidence matrix that a cell holds at a time.
+PART_SHINGLES, CELL_BYTES = 200_000, 32 << 20
 U64 = np.uint64
 
 
@@ -144,13 +147,6 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "shingles": pa.array([found[x:y].tobytes() for x, y in zip(edge[:-1], edge[1:], strict=True)], pa.binary())})
 
 
-def _set_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        found, owner = shingle_sets(batch.column(1))
-        edge = np.searchsorted(owner, np.arange(batch.num_rows + 1)).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(edge), pa.array(found.view(np.int64)))], ["doc_id", "shingles"])
-
-
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
@@ -185,31 +181,72 @@ def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     return likely.join(full("a"), "a").join(full("b"), "b").mapInArrow(_confirm, "a long, b long")
 
 
+def _crossing(key: tuple, rows: pa.Table) -> pa.Table:
+    """A link for each pair of components that the documents of side x and those of side y of a cell connect."""
+    sets = [np.frombuffer(v, np.uint64) for v in rows.column("shingles").to_pylist()]
+    ids, component = rows.column("doc_id").to_numpy(), rows.column("component").to_numpy()
+    on_x = rows.column("on_x").to_numpy(zero_copy_only=False)
+    x = np.flatnonzero(on_x)
+    y = x if not (~on_x).any() else np.flatnonzero(~on_x)
+    sizes = np.array([len(v) for v in sets], np.int64)
+    found, where = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    # Only shingles of two documents or more count for an intersection; rows of the incidence are taken some at a time.
+    often = np.flatnonzero(np.bincount(where, minlength=len(found)) > 1)
+    place = np.full(len(found), -1)
+    place[often] = np.arange(len(often))
+    where, owner = place[where[place[where] >= 0]], owner[place[where] >= 0]
+    both = np.zeros((len(x), len(y)), np.float32)
+    row_of = [np.full(len(sets), -1) for _ in range(2)]
+    row_of[0][x], row_of[1][y] = np.arange(len(x)), np.arange(len(y))
+    order = np.argsort(where, kind="stable")
+    where, owner = where[order], owner[order]
+    step = max(1, CELL_BYTES // (4 * (len(x) + len(y))))
+    for begin in range(0, len(often), step):
+        own = slice(*np.searchsorted(where, (begin, begin + step)))
+        sides = []
+        for row, n in zip(row_of, (len(x), len(y)), strict=True):
+            m = np.zeros((n, min(step, len(often) - begin)), np.float32)
+            here = row[owner[own]]
+            m[here[here >= 0], where[own][here >= 0] - begin] = 1
+            sides.append(m)
+        both += sides[0] @ sides[1].T
+    union = sizes[x][:, None] + sizes[y][None] - both
+    i, j = np.nonzero((100 * both >= THRESHOLD_PERCENT * union) & (component[x][:, None] != component[y][None]))
+    pairs = np.sort(np.stack([component[x[i]], component[y[j]]], axis=1), axis=1)
+    first = np.unique(pairs, axis=0, return_index=True)[1] if len(pairs) else np.zeros(0, np.int64)
+    return pa.table({"a": pa.array(ids[x[i[first]]], pa.int64()), "b": pa.array(ids[y[j[first]]], pa.int64())})
+
+
 def _across(open_: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     """Links between different components among documents that share a bucket; `open_` has band, doc_id, component.
 
-    Documents are brought together by cluster (connected by shared buckets), one row each with its full set. Members
-    outside a cluster's largest component meet all others; the join's condition holds the test, so that it gives out
-    links only.
+    Documents are brought together by cluster (connected by shared buckets). Members outside a cluster's largest component
+    must meet all others, exactly. A cluster is dealt into cells of two parts of about PART_SHINGLES shingles, each a
+    group of its own, so no task holds more than that of a cluster, whatever its size; intersections are matrix products.
+    The largest component's members don't meet one another. Cells grow with the square of what lies outside it:
+    documents that share much and yet stay below the threshold are compared, none is passed over.
     """
     hubs = open_.groupBy("band").agg(F.min("doc_id").alias("a"))
     clusters = components(open_.join(hubs, "band").select("a", F.col("doc_id").alias("b"))).select(F.col("id").alias("doc_id"), F.col("component").alias("cluster"))
-    members = open_.groupBy("doc_id").agg(F.first("component").alias("component"), F.collect_set("band").alias("bands")).join(clusters, "doc_id")
-    members = cut(members, "minhash-members")
+    members = cut(open_.select("doc_id", "component").distinct().join(clusters, "doc_id").join(reps.select("doc_id", "n_shingles"), "doc_id"), "minhash-members")
     few = members.count() <= BROADCAST_IDS
+    sizes = members.groupBy("cluster", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("volume"))
+    parts = lambda v: F.greatest(F.ceil(v / PART_SHINGLES), F.lit(1)).cast("int")
+    main = sizes.groupBy("cluster").agg(F.max_by(F.struct("component", "volume"), F.struct("n", "component")).alias("m"), F.sum("volume").alias("all"))
+    plan = main.select("cluster", F.col("m.component").alias("main"), parts(F.col("m.volume")).alias("main_parts"), parts(F.col("all") - F.col("m.volume")).alias("rest_parts"))
+    placed = members.join(plan, "cluster").withColumn("is_main", F.col("component") == F.col("main"))
+    part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.when(F.col("is_main"), F.col("main_parts")).otherwise(F.col("rest_parts")).cast("long")).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    cell = lambda kind, i, j, on_x: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), F.lit(on_x).alias("on_x"))
+    p = F.col("part")
+    against_main = F.transform(upto(F.col("main_parts")), lambda j: cell("main", p, j, True))
+    among_rest = F.transform(upto(F.col("rest_parts")), lambda k: F.when(k >= p, cell("rest", p, k, True)).otherwise(cell("rest", k, p, False)))
+    cells = F.when(F.col("is_main"), F.transform(upto(F.col("rest_parts")), lambda i: cell("main", i, p, False))).otherwise(F.concat(against_main, among_rest))
+    dealt = placed.withColumn("part", part).select("doc_id", "cluster", "component", F.explode(cells).alias("c")).select("doc_id", "cluster", "component", "c.*")
     ids = members.select("doc_id")
-    sets = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(_set_arrays, "doc_id long, shingles array<long>").dropDuplicates(["doc_id"])
-    sizes = members.groupBy("cluster", "component").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
-    nodes = cut(members.join(main, "cluster").join(sets, "doc_id").withColumn("n", F.size("shingles")), "minhash-nodes")
-    x, y = nodes.where("component <> main").alias("x"), nodes.alias("y")
-    both = "size(array_intersect(x.shingles, y.shingles))"
-    test = F.expr(
-        "x.cluster = y.cluster AND x.component <> y.component AND (y.component = y.main OR x.doc_id < y.doc_id)"
-        f" AND 100 * least(x.n, y.n) >= {THRESHOLD_PERCENT} * greatest(x.n, y.n) AND arrays_overlap(x.bands, y.bands)"
-        f" AND {both} * {100 + THRESHOLD_PERCENT} >= {THRESHOLD_PERCENT} * (x.n + y.n)"
-    )
-    return x.join(y, test).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+    sets = cut(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "minhash-sets")
+    return dealt.join(sets, "doc_id").groupBy("cluster", "kind", "i", "j").applyInArrow(_crossing, "a long, b long")
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:

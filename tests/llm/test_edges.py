@@ -117,6 +117,40 @@ def test_minhash_against_all_pairs(docs, rows, empty):
     assert minhash_dedup.near_duplicates(empty).count() == 0
 
 
+def test_minhash_of_templates_in_cells(spark, monkeypatch):
+    """Documents of one template below the threshold, and some above, in many small cells: the components of all pairs."""
+    rng = random.Random(21)
+    base = rnd_words(rng, 150, 10_000)
+    texts = []
+    for _ in range(60):
+        words = base[:122] + rnd_words(rng, 30, 10_000)
+        texts.append(" ".join(words))
+        if rng.random() < 0.4:
+            words[rng.randrange(len(words))] = "changed"
+            texts.append(" ".join(words))
+    monkeypatch.setattr(minhash_dedup, "PART_SHINGLES", 900)
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [shingles(t) for t in texts]
+    up = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                low, high = sorted((up[i], up[j]))
+                up = [low if u == high else u for u in up]
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(table).collect()}
+    assert got == dict(enumerate(up)) and 1 < len(set(up)) < len(texts)
+
+
+def test_crossing_counts_as_sets_do():
+    rng = np.random.default_rng(5)
+    sets = [np.sort(rng.choice(np.arange(40, dtype=np.uint64), rng.integers(20, 40), replace=False)) for _ in range(30)]
+    on_x = np.arange(30) < 12
+    rows = pa.table({"doc_id": pa.array(np.arange(30)), "component": pa.array(np.arange(30)), "on_x": pa.array(on_x), "shingles": pa.array([s.tobytes() for s in sets], pa.binary())})
+    got = {tuple(sorted(p)) for p in zip(*minhash_dedup._crossing((), rows).to_pydict().values(), strict=True)}
+    want = {(i, j) for i in range(12) for j in range(12, 30) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))}
+    assert got == want and want
+
+
 def test_register_estimate_is_close():
     rng = np.random.default_rng(1)
     for n, share in ((40, 0.8), (400, 0.5), (3000, 0.1)):
