@@ -9,7 +9,9 @@ above what 99 of 100 of these cost, with an allowance that shrinks with the root
 than CALIBRATE_DOCS of them has a wide limit.
 
 Defined cases: null text or a text without a letter is `und` and rejected, with score 0; null languages are not
-learned; with no labelled rows every text is `und`. Other columns are passed through by `identify`.
+learned; with no labelled rows every text is `und`; of languages of one cross-entropy the first by name is taken; a text
+of any length is scored whole; repeated rows give repeated rows and count as often in the fit; an empty table gives an
+empty table. Other columns are passed through by `identify`, ones named like its output are replaced.
 """
 
 from __future__ import annotations
@@ -20,15 +22,15 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossierflow.llm.arrow_text import SLICE_BYTES, buffers, slices
 from dossierflow.session import read_table
 
 ORDER = 4
-#: Bounds of the fit: documents sampled a language, and n-grams of the highest order kept a language.
-TRAIN_DOCS, MAX_GRAMS = 1500, 200_000
+#: Bound of the fit: documents sampled a language. All their n-grams count.
+TRAIN_DOCS = 1500
 #: Held-aside documents a language from which on the calibration stands alone.
 CALIBRATE_DOCS = 25
 UND = "und"
@@ -213,8 +215,7 @@ def train(docs: DataFrame) -> Model:
     sample = _sample(docs)
     fit, calibrate = sample.where("draw < 0.8"), sample.where("draw >= 0.8")
     counted = fit.select("text", "lang").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    by_count = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    kept = counted.withColumn("place", F.row_number().over(by_count)).where(F.col("place") <= MAX_GRAMS).select("lang", "gram", "n").toArrow()
+    kept = counted.orderBy("lang", "gram").toArrow()
     langs, keys, sizes = np.array(kept.column(0).to_pylist(), object), kept.column(1).to_numpy().view(np.uint64), kept.column(2).to_numpy()
     counts = {lang: (keys[langs == lang], sizes[langs == lang]) for lang in sorted(set(langs))}
     lm = KneserNey(counts)

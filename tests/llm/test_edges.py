@@ -280,6 +280,43 @@ def test_language_left_out_of_training_is_rejected(spark):
     assert got["fr"] >= 0.9 and got["en"] <= 0.01
 
 
+def test_language_id_on_held_out_rows(spark):
+    found = language_id.query(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out AND lang_pred <> 'und'").collect()
+    assert len(found) > 200 and sum(r.lang == r.lang_pred for r in found) >= 0.98 * len(found)
+
+
+def test_cross_entropy_against_plain_counts():
+    """Interpolated Kneser-Ney by its definition, on dictionaries."""
+    text, other = "the cat sat on the mat and the hat", "the dog sat"
+    padded, grams = "   " + text, {}
+    for k in range(len(text)):
+        grams[padded[k : k + 4]] = grams.get(padded[k : k + 4], 0) + 1
+    levels = {4: grams}
+    for n in (3, 2, 1):
+        levels[n] = {}
+        for g in levels[n + 1]:
+            levels[n][g[1:]] = levels[n].get(g[1:], 0) + 1
+
+    def prob(g):
+        n = len(g)
+        if n == 0:
+            return 1 / (len(levels[1]) + 1)
+        own = {k: c for k, c in levels[n].items() if k[:-1] == g[:-1]}
+        once, twice = (sum(c == x for c in levels[n].values()) for x in (1, 2))
+        d = once / (once + 2 * twice) if once and twice else 0.5
+        low = prob(g[1:])
+        if not own:
+            return low
+        total = sum(own.values())
+        return max(own.get(g, 0) - d, 0) / total + d * len(own) / total * low
+
+    want = -sum(np.log(prob(("   " + other)[k : k + 4])) for k in range(len(other))) / len(other)
+    codes, at, _ = language_id.symbols(*arrow_text.buffers(pa.array([text, other])))
+    keys, n = np.unique(language_id.grams(codes[: at[1]], at[:2]), return_counts=True)
+    lm = language_id.KneserNey({"x": (keys, n)})
+    assert lm.cross_entropy(codes[at[1] :], at[1:] - at[1])[0, 0] == pytest.approx(want, abs=1e-4)
+
+
 def test_kneser_ney_sums_to_one():
     codes, at, _ = language_id.symbols(*arrow_text.buffers(pa.array(["the cat sat on the mat and the hat"])))
     keys, n = np.unique(language_id.grams(codes, at), return_counts=True)
