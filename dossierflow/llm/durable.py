@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -33,6 +34,13 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Has the driver forget plans that nothing refers to, whose shuffle files Spark then removes from the executors."""
+    gc.collect()
+    with contextlib.suppress(Exception):
+        spark._jvm.System.gc()
+
+
 @atexit.register
 def purge() -> None:
     """Removes all tables that `cut` has written."""
