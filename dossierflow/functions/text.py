@@ -152,3 +152,35 @@ def front_matter(text: Column) -> Column:
 def ordered_union(a: Column, b: Column) -> Column:
     """Elements of both lists, each once, in order of first appearance."""
     return F.array_distinct(F.concat(a, b))
+
+
+#: Types of the file families that are read.
+MIME_TYPES = {
+    ".pdf": "application/pdf",
+    ".docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
+    ".xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",
+    ".pptx": "application/vnd.openxmlformats-officedocument.presentationml.presentation",
+    ".doc": "application/msword", ".xls": "application/vnd.ms-excel", ".txt": "text/plain", ".csv": "text/csv", ".md": "text/markdown",
+    ".html": "text/html", ".eml": "message/rfc822", ".json": "application/json", ".png": "image/png", ".jpg": "image/jpeg", ".jpeg": "image/jpeg",
+}
+
+
+def mime_of(name: Column) -> Column:
+    """Type by extension; null for others, which the leading bytes may tell."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in MIME_TYPES.items() for x in kv]), extension(name))
+
+
+def domain_slug(domain: Column) -> Column:
+    """Slug of a domain without what follows its first dot."""
+    return slugify(F.split_part(F.lower(domain), F.lit("."), F.lit(1)), empty="dominio")
+
+
+def project_slug(name: Column) -> Column:
+    """Slug without a fold of accents: letters outside ASCII part words. Null where nothing is left."""
+    slug = F.regexp_replace(F.regexp_replace(F.lower(F.trim(name)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    return F.nullif(slug, F.lit(""))
+
+
+def year_of(date: Column) -> Column:
+    """The first four digits of a date as text, or a word for none."""
+    return F.when(date.rlike(r"^\d{4}"), F.substring(date, 1, 4)).otherwise("unknown")

@@ -69,3 +69,21 @@ def confidence_label(confidence: Column) -> Column:
 def throughput(rows: DataFrame, group: str, order: str, clock: str) -> DataFrame:
     running = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return rows.select(order, F.count("*").over(running).alias("done"), (F.col(clock) - F.min(clock).over(running)).alias("elapsed_s"))
+
+
+def lint(notes: DataFrame, entries: int = 25, stub: int = 15, proposals: int = 15) -> DataFrame:
+    """Counts of each note's text, and whether they ask for attention: `## ` entries, lines that aren't blank, sessions opened and closed."""
+    count = lambda pattern: F.regexp_count("text", F.lit("(?m)" + pattern)).cast("long")
+    counted = notes.withColumns({"n_entries": count("^## "), "n_lines": count(r"^.*\S.*$"), "n_opened": count(r"^### Sessione \d+ aperta"), "n_closed": count(r"^### Sessione \d+ chiusa")})
+    n = F.col("n_entries")
+    return counted.withColumns({"over_memory": n > entries, "over_proposals": n > proposals, "stub": F.col("n_lines") < stub, "open_sessions": F.col("n_opened") != F.col("n_closed")})
+
+
+def run_stats(decisions: DataFrame) -> DataFrame:
+    """Per category and in total (category null): records, and how many a model or the rules have decided."""
+    of = lambda method: F.count_if(F.col("method") == method).alias(f"n_{method}")
+    return decisions.groupingSets([["categoria"], []], "categoria").agg(F.count("*").alias("n"), of("llm"), of("rules"))
+
+
+def status_totals(records: DataFrame) -> DataFrame:
+    return records.agg(F.count("*").alias("n_records"), F.count_distinct("source").alias("n_sources"), F.count("sha256").alias("n_hashed"), F.count("categoria").alias("n_categorized"), F.sum("size").alias("bytes"))

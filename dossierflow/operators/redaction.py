@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossierflow.functions.text import personal_values
@@ -47,3 +47,9 @@ def unredact(docs: DataFrame, names: DataFrame, key: str = "doc_id") -> DataFram
     pairs = held.join(names.select("placeholder", "value"), "placeholder").groupBy(key).agg(F.collect_list(F.struct("placeholder", "value")).alias("pairs"))
     swapped = F.aggregate("pairs", F.col("text"), lambda acc, p: F.replace(acc, p["placeholder"], p["value"]))
     return docs.join(pairs, key, "left").withColumn("text", F.when(F.col("pairs").isNull(), F.col("text")).otherwise(swapped)).drop("pairs")
+
+
+def redact_blocks(blocks: Column, pairs: Column) -> Column:
+    """Of a message's blocks (type, text) the texts redacted by pairs (value, placeholder), longest first; other blocks stay."""
+    swapped = lambda text: F.aggregate(pairs, text, lambda acc, p: F.replace(acc, p["value"], p["placeholder"]))
+    return F.transform(blocks, lambda b: F.when(b["type"] == "text", b.withField("text", swapped(b["text"]))).otherwise(b))
