@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossierflow.functions.text import base_passes, extension, parent, stem
 from dossierflow.functions.tokens import SOURCE_PRIORITY
+from dossierflow.session import settled
 
 MISSING = "__missing__"
 
@@ -20,8 +21,13 @@ def record_id() -> Column:
 
 
 def hash_index(records: DataFrame) -> DataFrame:
-    """sha256 (or the marker for a missing one), number of records, their ids in order."""
-    return records.groupBy(F.coalesce("sha256", F.lit(MISSING)).alias("sha256")).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(record_id())).alias("ids"))
+    """(sha256 or the marker for a missing one, n, first): number of records of a hash and the least of their ids."""
+    return records.groupBy(F.coalesce("sha256", F.lit(MISSING)).alias("sha256")).agg(F.count("*").alias("n"), F.min(record_id()).alias("first"))
+
+
+def hash_members(records: DataFrame) -> DataFrame:
+    """(sha256, id): membership of the index as rows, so a hash that very many records share is no array in one task."""
+    return records.select(F.coalesce("sha256", F.lit(MISSING)).alias("sha256"), record_id().alias("id"))
 
 
 def duplicate_totals(records: DataFrame) -> DataFrame:
@@ -38,17 +44,17 @@ def mark_duplicates(records: DataFrame, order: Column, group_missing: bool = Fal
     """
     key = F.coalesce("sha256", F.lit(MISSING)) if group_missing else F.col("sha256")
     keyed = records.withColumn("_key", key)
-    best = F.max_by(record_id(), F.struct(priority(F.col("source")), F.col("mtime"), -order)).alias("_best")
+    # The place tells apart two records of one id.
+    best = F.max_by(F.struct(record_id().alias("id"), order.alias("at")), F.struct(priority(F.col("source")), F.col("mtime"), -order)).alias("_best")
     groups = keyed.where("_key IS NOT NULL").groupBy("_key").agg(F.count("*").alias("_n"), best).where("_n > 1")
-    role = F.when(F.col("_best").isNull(), "unique").when(record_id() == F.col("_best"), "canonical").otherwise("duplicate-of")
-    out = keyed.join(groups, "_key", "left").withColumns({"role": role, "canonical": F.when(role == "duplicate-of", F.col("_best"))})
+    role = F.when(F.col("_best").isNull(), "unique").when((record_id() == F.col("_best.id")) & (order == F.col("_best.at")), "canonical").otherwise("duplicate-of")
+    out = keyed.join(groups, "_key", "left").withColumns({"role": role, "canonical": F.when(role == "duplicate-of", F.col("_best.id"))})
     return out.drop("_key", "_n", "_best")
 
 
 def siblings(marked: DataFrame) -> DataFrame:
-    """Of each canonical record the ids of its duplicates."""
-    dup = marked.where(F.col("role") == "duplicate-of").groupBy(F.col("canonical").alias("id")).agg(F.sort_array(F.collect_list(record_id())).alias("siblings"))
-    return dup
+    """(id, sibling): the duplicates of each canonical record, a row each."""
+    return marked.where(F.col("role") == "duplicate-of").select(F.col("canonical").alias("id"), record_id().alias("sibling"))
 
 
 def name_clusters(records: DataFrame) -> DataFrame:
@@ -73,10 +79,11 @@ def cluster_ordinals(clusters: DataFrame) -> DataFrame:
 
 
 def ordinals(rows: DataFrame, keys: list[str], name: str = "ordinal") -> DataFrame:
-    """Adds 1, 2, 3 ... in the order of `keys` (which must be unique) without a global window."""
-    from pyspark.sql import Window
+    """Adds 1, 2, 3 ... in the order of `keys` (which must be unique) without a global window.
 
-    ranged = rows.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id())
+    The ranged rows are written first: the bounds are sampled, and counts and numbers must go by the same ones.
+    """
+    ranged = settled(rows.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
     local = ranged.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(*keys)))
     counts = local.groupBy("_part").agg(F.count("*").alias("_c"))
     # One row a partition, so this window and broadcast are as small as the number of partitions.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from fnmatch import translate
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 #: Leading bytes of file families, and which extensions promise which.
 SIGNATURES = {"pdf": "25504446", "zip": "504B0304", "ole": "D0CF11E0A1B11AE1", "png": "89504E470D0A1A0A", "jpeg": "FFD8FF"}
 PROMISES = {".pdf": "pdf", ".docx": "zip", ".xlsx": "zip", ".pptx": "zip", ".doc": "ole", ".xls": "ole", ".png": "png", ".jpg": "jpeg", ".jpeg": "jpeg"}
+#: Folders too wide to be scanned as a whole.
+WIDE_ROOTS = ("/", "/Users", "/home", "/etc", "/var", "/private", "/tmp", "/usr", "/bin", "/sbin", "/opt", "/System", "/Library", "C:\\", "C:\\Users")
 LIBRARY_CHILDREN = ("Caches", "Logs", "Application Support", "Containers", "Developer")
 
 
@@ -88,3 +91,21 @@ def search(pages: DataFrame, term: str, limit: int, path: str = "path", text: st
     start = F.greatest(place - around, F.lit(1))
     snippet = F.substring(F.col(text), start, place + len(term) + around - start)
     return hits.select(path, count.alias("n"), snippet.alias("snippet")).orderBy(path).limit(limit)
+
+
+def guard_root(root: str, force: bool = False) -> str:
+    """The root without dots and doubled slashes; one that is too wide, the home folder included, is refused unless forced."""
+    plain = os.path.normpath(root)
+    if not force and plain in (*WIDE_ROOTS, os.path.expanduser("~")):
+        raise ValueError(f"root {plain} is too wide: name a folder below it, or force it")
+    return plain
+
+
+def leaves_root(path: Column, root: str) -> Column:
+    """Whether a path, its .. and . taken away, lies outside the root. Links are to be resolved by whoever lists the files."""
+    empty = F.array().cast("array<string>")
+    up = lambda acc: F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
+    parts = F.aggregate(F.split(path, "/"), empty, lambda acc, p: F.when(p == "..", up(acc)).when(p.isin("", "."), acc).otherwise(F.concat(acc, F.array(p))))
+    plain = F.concat(F.lit("/"), F.array_join(parts, "/"))
+    top = os.path.normpath(root).rstrip("/")
+    return ~((plain == (top or "/")) | F.startswith(plain, F.lit(top + "/")))

@@ -13,33 +13,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossierflow.functions.tokens import CATEGORIES
+from dossierflow.operators.dedup import ordinals
 
 BATCH = 20
 ANSWER = "array<struct<id:string,category:string,confidence:double,reason:string>>"
 
 
 def prompts(records: DataFrame, fields: list[str], batch: int = BATCH, key: str = "doc_id") -> DataFrame:
-    """(batch_id, ids, prompt): records in groups of at most `batch`, by a hash of the key, no shuffle to one task."""
-    size = F.lit(batch)
-    placed = records.withColumn("_b", F.floor(F.col(key) / size))
+    """(batch_id, ids, prompt): records in groups of `batch` in the order of the key (unique, of any type), the last one smaller."""
+    placed = ordinals(records, [key], "_nth").withColumn("_b", F.floor((F.col("_nth") - 1) / F.lit(batch)))
     grouped = placed.groupBy(F.col("_b").alias("batch_id")).agg(F.sort_array(F.collect_list(F.struct(F.col(key).alias("id"), *[f for f in fields]))).alias("rows"))
     return grouped.select("batch_id", F.transform("rows", lambda r: r["id"]).alias("ids"), F.to_json("rows").alias("prompt"))
 
 
 def ask(asked: DataFrame, model: Callable[[list[str]], list[str]]) -> DataFrame:
-    """Adds `answer`; an exception becomes an empty answer, so that one batch never fails a stage."""
+    """Adds `answer` and `error`. The model gets all prompts of an Arrow batch in one call; if it fails or gives another
+    number of answers they are asked one by one, and what fails then has an empty answer and the reason."""
+
+    def each(prompt: str) -> tuple[str, str | None]:
+        try:
+            return model([prompt])[0], None
+        except Exception as e:  # the residue is marked as unclear by `parse`
+            return "", f"{type(e).__name__}: {e}"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            answers = []
-            for prompt in frame["prompt"]:
-                try:
-                    answers.append(model([prompt])[0])
-                except Exception:  # the residue is marked as unclear by `parse`
-                    answers.append("")
-            yield frame.assign(answer=answers)
-
-    return asked.mapInPandas(run, asked.withColumn("answer", F.lit("")).schema)
+            prompts = frame["prompt"].tolist()
+            try:
+                answers = list(model(prompts))
+            except Exception:
+                answers = []
+            found = [(a, None) for a in answers] if len(answers) == len(prompts) else [each(p) for p in prompts]
+            yield frame.assign(answer=[a for a, _ in found], error=pd.Series([e for _, e in found], index=frame.index, dtype=object))
+
+    return asked.mapInPandas(run, asked.withColumns({"answer": F.lit(""), "error": F.lit(None).cast("string")}).schema)
 
 
 def json_array(answer: Column) -> Column:

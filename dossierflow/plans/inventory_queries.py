@@ -217,9 +217,14 @@ def with_marked(sql: str) -> str:
     return with_inv("").rstrip() + f", {MARKED} {sql}"
 
 
-@query("A1_hash_index", with_inv("SELECT coalesce(sha256, '__missing__') AS sha256, count(*) AS n, string_agg(concat(source, ':', source_id), '|' ORDER BY concat(source, ':', source_id)) AS ids FROM inv GROUP BY 1"))
+@query("A1_hash_index", with_inv("SELECT coalesce(sha256, '__missing__') AS sha256, count(*) AS n, min(concat(source, ':', source_id)) AS first_id FROM inv GROUP BY 1"))
 def a1(spark, sf_dir):
-    return dedup.hash_index(inventory(spark, sf_dir)).select("sha256", "n", F.array_join("ids", "|").alias("ids"))
+    return dedup.hash_index(inventory(spark, sf_dir)).withColumnRenamed("first", "first_id")
+
+
+@query("A1_hash_members", with_inv("SELECT coalesce(sha256, '__missing__') AS sha256, concat(source, ':', source_id) AS id FROM inv"))
+def a1b(spark, sf_dir):
+    return dedup.hash_members(inventory(spark, sf_dir))
 
 
 @query("A2_duplicate_totals", with_inv("SELECT count(*) AS n_groups, CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS n_redundant FROM (SELECT count(*) AS n FROM inv WHERE sha256 IS NOT NULL GROUP BY sha256 HAVING count(*) > 1)"))
@@ -239,9 +244,9 @@ def a3(spark, sf_dir):
     return marked.groupBy("source").agg(count("canonical").alias("n_canonical"), count("duplicate-of").alias("n_duplicates"), count("unique").alias("n_unique"))
 
 
-@query("W2_siblings", with_marked("SELECT top AS id, string_agg(concat(source, ':', source_id), '|' ORDER BY concat(source, ':', source_id)) AS siblings FROM marked WHERE role = 'duplicate-of' GROUP BY top"))
+@query("W2_siblings", with_marked("SELECT top AS id, concat(source, ':', source_id) AS sibling FROM marked WHERE role = 'duplicate-of'"))
 def w2(spark, sf_dir):
-    return dedup.siblings(dedup.mark_duplicates(inventory(spark, sf_dir), F.col("doc_id"))).select("id", F.array_join("siblings", "|").alias("siblings"))
+    return dedup.siblings(dedup.mark_duplicates(inventory(spark, sf_dir), F.col("doc_id")))
 
 
 _PASS = ["^(.+?)[\\s_-]*(?:copia(?:\\s+di)?|copy(?:\\s+of)?)(?:[\\s_-]*\\(?(\\d+)\\)?)?$", "^copia\\s+di\\s+(.+)$", "^(.+?)[\\s_-]*v(\\d+)$", "^(.+?)[\\s_-]+(?:final|finale|definitivo|def)$", "^(.+?)[\\s_-]*\\((\\d+)\\)$"]

@@ -133,10 +133,11 @@ def c5(spark, sf_dir):
     return model_stage.parse(model_stage.ask(asked, model)).select("key", "category", "confidence")
 
 
-@query("U2_ordered_union", "SELECT conv_id, string_agg(role, '|' ORDER BY role) AS roles FROM (SELECT DISTINCT conv_id, role FROM conversations) GROUP BY conv_id")
+@query("U2_ordered_union", "SELECT conv_id, string_agg(role, '|' ORDER BY at) AS roles FROM (SELECT conv_id, role, min((turn, role)) AS at FROM (SELECT conv_id, turn, role FROM conversations UNION ALL SELECT conv_id, 1000000, 'closing' FROM conversations) GROUP BY conv_id, role) GROUP BY conv_id")
 def u2(spark, sf_dir):
-    lists = read_table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list("role")).alias("a"), F.sort_array(F.collect_set("role")).alias("b"))
-    return lists.select("conv_id", F.array_join(F.sort_array(X.ordered_union(F.col("b"), F.col("a"))), "|").alias("roles"))
+    lists = read_table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("turns"))
+    closing = F.array(F.lit("closing"), F.get("turns.role", F.lit(0)))
+    return lists.select("conv_id", F.array_join(X.ordered_union(F.col("turns.role"), closing), "|").alias("roles"))
 
 
 @query("X23_quality", "SELECT doc_id, round(least(1.0::DOUBLE, n_chars / (50.0::DOUBLE * greatest(1, n_chars // 1800))), 4) AS text_quality, round(least(1.0::DOUBLE, n_chars / (200.0::DOUBLE * greatest(1, n_chars // 1800))), 4) AS ocr_quality FROM documents")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,17 +40,18 @@ def append_inventory(rows: DataFrame, root: str) -> None:
 
 
 def write_snapshot(rows: DataFrame, root: str) -> str:
-    """Writes a whole new snapshot beside the old ones, then moves the pointer: readers see the old or the new one."""
+    """Writes a whole new snapshot beside the old ones, then adds a pointer to it: readers see the old or the new one."""
     name = f"snapshot-{uuid.uuid4().hex}"
     rows.write.parquet(f"{root}/{name}")
     spark = rows.sparkSession
-    pointer = spark.createDataFrame([(json.dumps({"current": name}),)], "value string").coalesce(1)
-    pointer.write.mode("overwrite").text(f"{root}/_current")
+    pointer = spark.createDataFrame([(json.dumps({"at": time.time_ns(), "current": name}),)], "value string").coalesce(1)
+    pointer.write.mode("append").text(f"{root}/_current")
     return name
 
 
 def read_snapshot(spark: SparkSession, root: str) -> DataFrame:
-    name = json.loads(spark.read.text(f"{root}/_current").first()[0])["current"]
+    newest = spark.read.schema("at long, current string").json(f"{root}/_current").agg(F.max_by("current", "at"))
+    name = newest.first()[0]
     return spark.read.parquet(f"{root}/{name}")
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from dossierflow.session import settled
+
 NATIVE_EXPORTS = {
     "application/vnd.google-apps.document": "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
     "application/vnd.google-apps.spreadsheet": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",
@@ -59,17 +61,20 @@ def message_listing(spark: SparkSession, path: str, since: str | None = None) ->
 
 
 def drive_paths(folders: DataFrame, root: str, max_depth: int = 64) -> DataFrame:
-    """(id, path) of the folders below `root` from (id, parent_id, name): level by level, each folder once, cycles end."""
+    """(id, path) of the folders below `root` from (id, parent_id, name): level by level, each folder once, cycles end.
+
+    Each level is written, so the next one reads it instead of all before. Folders deeper than `max_depth` are an error.
+    """
     level = folders.where(F.col("parent_id") == root).select("id", F.col("name").alias("path"))
     out = level
     for _ in range(max_depth):
         parents = level.select(F.col("id").alias("parent_id"), F.col("path").alias("_p"))
         below = folders.join(parents, "parent_id").select("id", F.concat_ws("/", "_p", "name").alias("path"))
-        level = below.join(out.select("id"), "id", "left_anti").groupBy("id").agg(F.min("path").alias("path"))
+        level = settled(below.join(out.select("id"), "id", "left_anti").groupBy("id").agg(F.min("path").alias("path")))
         if level.isEmpty():
             return out
         out = out.unionByName(level)
-    return out
+    raise ValueError(f"folders lie deeper than {max_depth} levels")
 
 
 class PagedListing(DataSource):

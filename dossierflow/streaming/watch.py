@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,14 +28,32 @@ def drops(spark: SparkSession, inbox: str, max_files: int = 1000) -> DataFrame:
 def throttled(events: DataFrame, key: str, clock: str, gap: float = 2.0) -> DataFrame:
     """Batch form of the leading-edge throttle: an event counts iff `gap` seconds have passed since the last that did.
 
-    A key's events are folded in order; only accepted ones are kept in the fold.
+    A task reads its keys' events in order and keeps the last accepted time alone, so a key may have any number of
+    them. Events without a time are left out; a null key is a key.
     """
-    folded = F.aggregate(
-        "times",
-        F.array().cast("array<double>"),
-        lambda acc, t: F.when((F.size(acc) == 0) | (t - F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0)) >= gap), F.concat(acc, F.array(t))).otherwise(acc),
-    )
-    return events.groupBy(key).agg(F.sort_array(F.collect_list(F.col(clock).cast("double"))).alias("times")).select(key, F.explode(folded).alias(clock))
+
+    def step(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        was = last = None
+        for frame in frames:
+            keys, times = frame[key], frame[clock].to_numpy(dtype=float)
+            same = keys.eq(keys.shift()) | (keys.isna() & keys.shift().isna())
+            starts = [0, *same.index[~same][1:].tolist(), len(frame)]
+            kept = []
+            for a, b in zip(starts, starts[1:], strict=False):
+                if a == b:
+                    continue
+                k = None if pd.isna(keys.iloc[a]) else keys.iloc[a]
+                if last is None or k != was:
+                    was, last = k, -math.inf
+                at = a + int(np.searchsorted(times[a:b], last + gap))
+                while at < b:
+                    kept.append(at)
+                    last = times[at]
+                    at = max(at + 1, a + int(np.searchsorted(times[a:b], last + gap)))
+            yield frame.iloc[kept]
+
+    rows = events.select(key, F.col(clock).cast("double").alias(clock)).where(F.col(clock).isNotNull())
+    return rows.repartition(key).sortWithinPartitions(key, clock).mapInPandas(step, rows.schema)
 
 
 def throttle_stream(events: DataFrame, key: str, clock: str, gap: float = 2.0) -> DataFrame:
