@@ -133,7 +133,7 @@ def c5(spark, sf_dir):
     return model_stage.parse(model_stage.ask(asked, model)).select("key", "category", "confidence")
 
 
-@query("U2_ordered_union", "SELECT conv_id, string_agg(role, '|' ORDER BY at) AS roles FROM (SELECT conv_id, role, min((turn, role)) AS at FROM (SELECT conv_id, turn, role FROM conversations UNION ALL SELECT conv_id, 1000000, 'closing' FROM conversations) GROUP BY conv_id, role) GROUP BY conv_id")
+@query("U2_ordered_union", "SELECT conv_id, string_agg(role, '|' ORDER BY f) AS roles FROM (SELECT conv_id, role, min((turn, role)) AS f FROM (SELECT conv_id, turn, role FROM conversations UNION ALL SELECT conv_id, 1000000, 'closing' FROM conversations) GROUP BY conv_id, role) GROUP BY conv_id")
 def u2(spark, sf_dir):
     lists = read_table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("turns"))
     closing = F.array(F.lit("closing"), F.get("turns.role", F.lit(0)))
