@@ -26,12 +26,28 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a written Parquet table, removed when the driver process ends."""
+    """`df` as a written Parquet table, removed by `drop` or when the driver process ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._cut_path = path
+    return table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Removes tables that `cut` has given and that no later plan reads."""
+    for table in tables:
+        entry = (table.sparkSession, table._cut_path)
+        _written.remove(entry)
+        _remove(*entry)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -45,7 +61,4 @@ def release(spark: SparkSession) -> None:
 def purge() -> None:
     """Removes all tables that `cut` has written."""
     while _written:
-        spark, path = _written.pop()
-        with contextlib.suppress(Exception):
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _remove(*_written.pop())
