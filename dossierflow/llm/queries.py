@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dossierflow.llm import bpe_codec, chat_format, decontamination, fingerprints, language_id, line_dedup, minhash_dedup, secret_scan, substring_dedup, suffix_dedup, toxicity
+from dossierflow.llm import bpe_codec, chat_format, decontamination, delta_lloyd, fingerprints, language_id, line_dedup, minhash_dedup, secret_scan, substring_dedup, suffix_dedup, toxicity, whitening
 
 QUERIES = {
     "op1_benchmark_decontamination": decontamination.query,
@@ -15,10 +15,13 @@ QUERIES = {
     "op7_language_id": language_id.query,
     "op8_substring_dedup": substring_dedup.query,
     "op10_chat_format": chat_format.query,
+    "op11_embedding_whitening": whitening.query,
     "op12_suffix_dedup": suffix_dedup.query,
+    "op13_delta_lloyd": delta_lloyd.query,
 }
 
 ORACLES = {
     "op10_chat_format": chat_format.ORACLE,
     "op12_suffix_dedup": suffix_dedup.ORACLE,
+    "op13_delta_lloyd": delta_lloyd.ORACLE,
 }
