@@ -72,12 +72,17 @@ def _packets(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, types, strict=True)], list(names))
 
 
+def _runs(values: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of each run of equal values."""
+    edge = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+    return list(zip(edge.tolist(), [*edge[1:].tolist(), len(values)], strict=False))
+
+
 def _dealt(entries: np.ndarray, bucket: np.ndarray, group: int, kind: int) -> list[tuple]:
     """Packets of the entries by bucket, in the order given within each."""
     order = np.argsort(bucket, kind="stable")
     entries, bucket = entries[order], bucket[order]
-    edge = np.flatnonzero(np.diff(bucket, prepend=-1))
-    return [(int(bucket[a]), group, kind, int(b - a), _pack(entries[a:b]), b"") for a, b in zip(edge, np.append(edge[1:], len(bucket)), strict=True)]
+    return [(int(bucket[a]), group, kind, b - a, _pack(entries[a:b]), b"") for a, b in _runs(bucket)]
 
 
 class Family:
@@ -230,7 +235,7 @@ def _narrowed(array: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     if not len(array) or different.max() <= most:
         return array, np.zeros(0, _ASK)
     wide = (different > most)[number]
-    marks = array[wide][np.flatnonzero(np.diff(number[wide], prepend=-1))]
+    marks = array[wide][[a for a, _ in _runs(number[wide])]]
     marks["n"] = _MARK
     rest = np.concatenate([array[~wide], marks])
     return rest[_by_block(rest)], _asked(array[wide], np.ones(int(wide.sum()), np.uint8))
@@ -284,8 +289,7 @@ def _families(key: tuple, table: pa.Table) -> pa.Table:
     if reported:
         covered = np.concatenate(reported)
         covered = covered[np.argsort(covered["grp"], kind="stable")]
-        edge = np.flatnonzero(np.diff(covered["grp"], prepend=-1))
-        for a, b in zip(edge, np.append(edge[1:], len(covered)), strict=True):
+        for a, b in _runs(covered["grp"]):
             merged = _as_ranges(covered[a:b])
             rows.append((bucket, int(covered["grp"][a]), FULL, len(merged), _pack(merged), b""))
     return pa.Table.from_batches([_packets(rows)])
@@ -326,10 +330,9 @@ def _texts(buckets: int):
                 bucket[part] = (h % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         entries, begin, bucket = entries[order], begin[order], bucket[order]
-        edge = np.flatnonzero(np.diff(bucket, prepend=-1))
-        for a, b in zip(edge, np.append(edge[1:], len(bucket)), strict=True):
+        for a, b in _runs(bucket):
             which, step = ranges(entries["n"][a:b].astype(np.int64) + SPAN - 1)
-            out.append((int(bucket[a]), group, TEXTS, int(b - a), _pack(entries[a:b]), data[begin[a:b][which] + step].tobytes()))
+            out.append((int(bucket[a]), group, TEXTS, b - a, _pack(entries[a:b]), data[begin[a:b][which] + step].tobytes()))
         return pa.Table.from_batches([_packets(out)])
 
     return run
@@ -393,8 +396,7 @@ def _long_matches(key: tuple, table: pa.Table) -> pa.Table:
     if reported:
         covered = np.concatenate(reported)
         covered = covered[np.argsort(covered["grp"], kind="stable")]
-        edge = np.flatnonzero(np.diff(covered["grp"], prepend=-1))
-        for a, b in zip(edge, np.append(edge[1:], len(covered)), strict=True):
+        for a, b in _runs(covered["grp"]):
             merged = _as_ranges(covered[a:b])
             rows.append((bucket, int(covered["grp"][a]), FULL, len(merged), _pack(merged), b""))
     return pa.Table.from_batches([_packets(rows)])
