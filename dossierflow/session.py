@@ -21,15 +21,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """`df` written to the checkpoint folder, so that every reader sees the same rows and partitions.
-
-    The folder is spark.checkpoint.dir or the context's; in local mode one of our own where neither is set.
-    """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir or of the context; in local mode one of our own where neither is set."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(folder or f"file://{tempfile.mkdtemp(prefix='dossierflow-')}")
+        found = f"file://{tempfile.mkdtemp(prefix='dossierflow-')}"
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """`df` written to the checkpoint folder, so that every reader sees the same rows and partitions."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

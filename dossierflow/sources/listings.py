@@ -1,13 +1,9 @@
-"""Listings of cloud drives, mail services and invoicing services, from JSON dumps or through a Python data source."""
+"""Listings of cloud drives and mail services from JSON dumps; `paged` reads services page by page."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from dossierflow.session import settled
 
@@ -75,35 +71,3 @@ def drive_paths(folders: DataFrame, root: str, max_depth: int = 64) -> DataFrame
             return out
         out = out.unionByName(level)
     raise ValueError(f"folders lie deeper than {max_depth} levels")
-
-
-class PagedListing(DataSource):
-    """A paged JSON dump as a data source: `spark.read.format("paged_listing").option("pages", "a.json,b.json")`.
-
-    One partition a page; a live client replaces `read` by a request with the page's cursor.
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "paged_listing"
-
-    def schema(self) -> str:
-        return "id string, item string"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _PagedReader(self.options)
-
-
-class _PagedReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.pages = [p for p in options.get("pages", "").split(",") if p]
-        self.field = options.get("field", "value")
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(p) for p in self.pages]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with open(partition.value, encoding="utf-8") as f:
-            page = json.load(f)
-        for item in page if isinstance(page, list) else page.get(self.field, []):
-            yield str(item.get("id")), json.dumps(item, sort_keys=True)

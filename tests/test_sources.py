@@ -63,8 +63,6 @@ def test_listings(spark, tmp_path):
     assert set(got) == {"1", "3"} and got["1"].size == 12 and got["1"].author == "D" and got["3"].mtime.year == 1970
     (tmp_path / "one.json").write_text(json.dumps([{"id": "x", "name": "f", "size": 3, "createdBy": {"user": {"displayName": "U"}}}]))
     assert listings.onedrive_listing(spark, str(tmp_path / "one.json")).first().author == "U"
-    spark.dataSource.register(listings.PagedListing)
-    assert spark.read.format("paged_listing").option("pages", f"{tmp_path}/drive.json,{tmp_path}/one.json").option("field", "files").load().count() == 4
 
 
 def test_drive_paths_end_on_cycles(spark):
