@@ -41,7 +41,7 @@ from dossierflow.session import read_table
 
 SPAN, ANCHOR = 50, 16
 #: Bytes of text a group and, about, a bucket; bytes worked on at a time.
-PART_BYTES, PIECE_BYTES = 12 << 20, 1 << 20
+PART_BYTES, PIECE_BYTES = 8 << 20, 1 << 20
 #: Different blocks of one anchor in a batch, and in a bucket, beyond which its strings are dealt out one by one.
 WIDE, WIDE_ALL = 64, 4096
 _ODD = np.uint64(0x9E3779B97F4A7C15)
