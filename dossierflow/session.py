@@ -37,3 +37,9 @@ def settled(df: DataFrame) -> DataFrame:
     """`df` written to the checkpoint folder, so that every reader sees the same rows and partitions."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def written(spark: SparkSession, path: str) -> bool:
+    """Whether Spark has written a table at `path` to its end."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)

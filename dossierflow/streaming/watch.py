@@ -10,11 +10,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from dossierflow.operators.categorize import classify
 from dossierflow.operators.filters import editor_temp
+from dossierflow.sources.changes import changed_files
 from dossierflow.sources.extract import extract, kind_of
+from dossierflow.streaming.tries import PAUSE, TRIES, bury, with_tries
 
 
 def drops(spark: SparkSession, inbox: str, max_files: int = 1000) -> DataFrame:
@@ -25,6 +26,11 @@ def drops(spark: SparkSession, inbox: str, max_files: int = 1000) -> DataFrame:
     return named.where(~editor_temp()).withColumn("sha256", F.sha2("content", 256))
 
 
+def changed(spark: SparkSession, inbox: str, state: str) -> DataFrame:
+    """New and changed files of a folder tree, in the columns of `drops`."""
+    return changed_files(spark, inbox, state).drop("change").withColumn("sha256", F.sha2("content", 256))
+
+
 def throttled(events: DataFrame, key: str, clock: str, gap: float = 2.0) -> DataFrame:
     """Batch form of the leading-edge throttle: an event counts iff `gap` seconds have passed since the last that did.
 
@@ -37,7 +43,7 @@ def throttled(events: DataFrame, key: str, clock: str, gap: float = 2.0) -> Data
         for frame in frames:
             keys, times = frame[key], frame[clock].to_numpy(dtype=float)
             same = keys.eq(keys.shift()) | (keys.isna() & keys.shift().isna())
-            starts = [0, *same.index[~same][1:].tolist(), len(frame)]
+            starts = [0, *(k for k in np.flatnonzero(~same.to_numpy()).tolist() if k), len(frame)]
             kept = []
             for a, b in zip(starts, starts[1:], strict=False):
                 if a == b:
@@ -56,55 +62,47 @@ def throttled(events: DataFrame, key: str, clock: str, gap: float = 2.0) -> Data
     return rows.repartition(key).sortWithinPartitions(key, clock).mapInPandas(step, rows.schema)
 
 
-def throttle_stream(events: DataFrame, key: str, clock: str, gap: float = 2.0) -> DataFrame:
-    """The same throttle as keyed state: (key, accepted time). Times are seconds."""
-
-    def step(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        out = []
-        for t in sorted(x for f in frames for x in f[clock].astype(float)):
-            if last is None or t - last >= gap:
-                last = t
-                out.append((keys[0], t))
-        if last is not None:
-            state.update((last,))
-        yield pd.DataFrame(out, columns=[key, clock])
-
-    kind = events.schema[key].dataType.simpleString()
-    return events.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {clock} double", "last double", "append", GroupStateTimeout.NoTimeout)
+def worked(now) -> Callable[[DataFrame, int], DataFrame]:
+    """Extraction and classification of files as work that may be tried again: a row a file, `error` where it failed."""
 
+    def work(files: DataFrame, attempt: int) -> DataFrame:
+        parsed = extract(files.select("path", "content"))
+        rows = classify(files.drop("content").join(parsed, "path", "left"), now)
+        return rows.withColumn("error", F.coalesce("warning", F.when(kind_of(F.col("path")).isNull(), "no parser"))).drop("warning")
 
-def process(batch: DataFrame, known: DataFrame, now) -> tuple[DataFrame, DataFrame]:
-    """(good, dead) of a micro-batch: contents already known are left out, the rest is extracted and classified."""
-    fresh = batch.dropDuplicates(["sha256"]).join(known.select("sha256"), "sha256", "left_anti")
-    parsed = extract(fresh.select("path", "content"))
-    joined = fresh.drop("content").join(parsed, "path", "left")
-    failed = F.col("warning").isNotNull() | kind_of(F.col("path")).isNull()
-    good = classify(joined.where(~failed).drop("warning"), now)
-    dead = joined.where(failed).select("path", "sha256", F.coalesce("warning", F.lit("no parser")).alias("error"))
-    return good, dead
+    return work
 
 
 def watch(
-    spark: SparkSession, inbox: str, inventory: str, dead_letters: str, checkpoint: str, after: Callable[[DataFrame, int], None] | None = None, max_files: int = 1000
+    spark: SparkSession,
+    inbox: str,
+    inventory: str,
+    dead_letters: str,
+    checkpoint: str,
+    after: Callable[[DataFrame, int], None] | None = None,
+    max_files: int = 1000,
+    changes: str | None = None,
+    work: Callable[[DataFrame, int], DataFrame] | None = None,
+    tries: int = TRIES,
+    pause: float = PAUSE,
 ) -> StreamingQuery:
     """Processes all files that are there and stops; call again, or set another trigger, to go on from the checkpoint.
 
-    Each micro-batch writes to a folder of its own number, so a batch that is repeated after a failure replaces itself.
+    Contents seen before are left out by keyed state, dealt out by hash, so a batch costs what is new in it; contents
+    that ended as dead letters count as seen. With `changes`, a folder for the lists of `changed_files`, a changed file
+    comes again; without, files count once by path. Each file is tried up to `tries` times. Micro-batches write to
+    folders of their own number, so one that is repeated after a failure replaces itself and goes on with its tries.
     """
 
     def each(batch: DataFrame, number: int) -> None:
         own = f"{inventory}/batch={number}"
-        try:
-            known = spark.read.parquet(inventory).where(F.col("batch") != number)
-        except Exception as e:  # the first batch finds no inventory
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            known = spark.createDataFrame([], "sha256 string")
-        good, dead = process(batch, known, F.current_timestamp())
-        good.write.mode("overwrite").parquet(own)
-        dead.write.mode("overwrite").json(f"{dead_letters}/batch={number}")
+        rows = batch.persist()
+        outcome = with_tries(rows, number, work or worked(F.current_timestamp()), f"{dead_letters}/tries", tries, pause)
+        outcome.good.write.mode("overwrite").parquet(own)
+        bury(outcome.dead, rows, number, dead_letters)
         if after is not None:
             after(spark.read.parquet(own), number)
+        rows.unpersist()
 
-    return drops(spark, inbox, max_files).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    files = drops(spark, inbox, max_files) if changes is None else changed(spark, inbox, changes)
+    return files.dropDuplicates(["sha256"]).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

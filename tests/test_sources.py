@@ -88,22 +88,12 @@ def test_sinks(spark, tmp_path):
 def test_watch(spark, inbox, tmp_path):
     seen = []
     args = (f"{tmp_path}/inventory", f"{tmp_path}/dead", f"{tmp_path}/cp")
-    watch.watch(spark, inbox, *args, after=lambda df, n: seen.append(df.count())).awaitTermination()
+    watch.watch(spark, inbox, *args, after=lambda df, n: seen.append(df.count()), pause=0.0).awaitTermination()
     assert sum(seen) == 5
-    assert spark.read.json(args[1]).select("error").count() == 1
+    assert spark.read.json(f"{args[1]}/letters").select("error").count() == 1
     with open(f"{inbox}/again.txt", "w", encoding="utf-8") as f:
         f.write("perché no")
     with open(f"{inbox}/new.txt", "w", encoding="utf-8") as f:
         f.write("new")
-    watch.watch(spark, inbox, *args).awaitTermination()
+    watch.watch(spark, inbox, *args, pause=0.0).awaitTermination()
     assert spark.read.parquet(args[0]).count() == 6
-
-
-def test_throttle_stream_matches_batch(spark, tmp_path):
-    events = spark.createDataFrame([("a", 0.0), ("a", 1.0), ("a", 2.0), ("a", 3.5), ("b", 9.0), ("a", 4.0)], "key string, at double")
-    events.coalesce(1).write.parquet(f"{tmp_path}/ev")
-    stream = spark.readStream.schema(events.schema).parquet(f"{tmp_path}/ev")
-    query = watch.throttle_stream(stream, "key", "at").writeStream.format("memory").queryName("thr").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
-    query.awaitTermination()
-    batch = {(r.key, r.at) for r in watch.throttled(events, "key", "at").collect()}
-    assert {(r.key, r.at) for r in spark.table("thr").collect()} == batch == {("a", 0.0), ("a", 2.0), ("a", 4.0), ("b", 9.0)}
