@@ -7,9 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dossierflow.operators import runs
+from dossierflow.plans.bridge import INV_SQL, NOW_S, inventory, with_inv
 from dossierflow.plans.registry import query
 from dossierflow.session import read_table, shared_folder
-from dossierflow.sources import paged
+from dossierflow.sources import paged, walk
+from dossierflow.sources.stores import write_files
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -61,3 +64,58 @@ def s12_pages(spark, sf_dir):
     paged.write_pages(rows.select("resource", F.timestamp_seconds(F.col("id").cast("long")).alias("at"), F.to_json(F.struct("id", "name")).alias("item")), root, per_page=500, numbered=True)
     found = paged.read_pages(spark, root, ("clients", "suppliers", "invoices"), paging="numbers", per_page="500", max_pages=str(10**9))
     return found.select("resource", "item_id", F.get_json_object("item", "$.name").alias("name"))
+
+
+# ---------------------------------------------------------------- the pruned walk and its counters
+
+#: Where documents lie as files: folders and names of the inventory, an id before the name; half of the PDF files are such by their first bytes.
+TREE = "SELECT doc_id, CASE WHEN substr(folder, 1, 1) = '/' THEN substr(folder, 2, length(folder) - 2) ELSE substr(folder, 1, length(folder) - 1) END AS folder, concat(CAST(doc_id AS STRING), '-', name) AS name, CASE WHEN doc_id % 2 = 0 AND lower(right(name, 4)) = '.pdf' THEN concat('%PDF', coalesce(text, '')) ELSE coalesce(text, '') END AS body FROM ({inv}) JOIN documents USING (doc_id)"
+EXCLUDES, MAX_BYTES, EXTENSIONS = ("_*", "cestino", "*-~$*"), 5000, (".pdf", ".docx", ".txt")
+
+
+def _tree(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of the documents as files, written by tasks."""
+    inventory(spark, sf_dir)
+    rows = spark.sql(TREE.replace("JOIN documents", "JOIN bridge_documents").format(inv=INV_SQL.format(now=NOW_S, sha="sha2(text, 256)").replace("FROM documents", "FROM bridge_documents")))
+    root = _folder(spark, "tree")
+    write_files(rows.select(F.concat_ws("/", "folder", "name").alias("path"), F.encode("body", "UTF-8").alias("content")), root)
+    return root
+
+
+WALKED = """, files AS ({tree}), met AS (SELECT *, octet_length(encode(body)) AS size, lower(regexp_extract(name, '(\\.[^.]*)$', 1)) AS ext FROM files
+ WHERE NOT regexp_matches(folder, '(^|/)(_[^/]*|cestino)(/|$)') AND NOT contains(folder, 'Library/Caches')),
+ruled AS (SELECT concat(folder, '/', name) AS relative, CASE WHEN contains(name, '-~$') THEN 'excluded' WHEN size > 5000 THEN 'size' WHEN ext NOT IN ('.pdf', '.docx', '.txt') THEN 'extension'
+ WHEN doc_id % 7 = 0 THEN 'manifest' WHEN ext = '.docx' AND NOT starts_with(body, 'PK') THEN 'magic' WHEN ext = '.pdf' AND NOT starts_with(body, '%PDF') THEN 'magic' END AS reason, body FROM met)"""
+
+
+def _walked(sql: str) -> str:
+    tree = TREE.format(inv="SELECT * FROM inv").replace("JOIN documents", "JOIN (SELECT doc_id, text FROM documents)")
+    return with_inv("").rstrip() + WALKED.format(tree=tree) + " " + sql
+
+
+def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = walk.walk(spark, _tree(spark, sf_dir), EXCLUDES, MAX_BYTES, EXTENSIONS).where("kind = 'file'")
+    manifest = files.where(F.regexp_extract("name", r"^(\d+)-", 1).cast("long") % 7 == 0).select("path", "size", "mtime")
+    return walk.contents(walk.unchanged(files, manifest))
+
+
+@query("S9_F6_F7_walk", _walked("SELECT relative, reason, CASE WHEN reason IS NULL THEN sha256(body) END AS sha256 FROM ruled"))
+def s9(spark, sf_dir):
+    return _scanned(spark, sf_dir).select("relative", "reason", F.sha2("content", 256).alias("sha256"))
+
+
+REASONS = ("excluded", "size", "extension", "manifest", "magic")
+
+
+@query("A21_scan_counters", _walked("SELECT reason, n FROM (SELECT unnest(['excluded', 'size', 'extension', 'manifest', 'magic', 'kept']) AS reason) LEFT JOIN (SELECT coalesce(reason, 'kept') AS reason, count(*) AS n FROM ruled GROUP BY 1) USING (reason)").replace("SELECT reason, n FROM", "SELECT reason, coalesce(n, 0) AS n FROM"))
+def a21(spark, sf_dir):
+    """The counts of one pass that also writes what is kept."""
+    kept, seen = runs.counted(_scanned(spark, sf_dir), F.col("reason"), REASONS)
+    kept.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(k, v) for k, v in seen.get.items() if k != "other"], "reason string, n long")
+
+
+@query("Y17_estimate", "SELECT count(*) AS n FROM (SELECT * FROM ({t}) WHERE NOT regexp_matches(folder, '(^|/)(_[^/]*|cestino)(/|$)') AND NOT contains(folder, 'Library/Caches') AND NOT contains(name, '-~$'))".format(t=TREE.format(inv=INV_SQL.format(now=NOW_S, sha="sha256(text)")).replace("JOIN documents", "JOIN (SELECT doc_id, text FROM documents)")))
+def y17(spark, sf_dir):
+    found = walk.estimate(spark, _tree(spark, sf_dir), EXCLUDES, cap_files=2**31 - 1, cap_seconds=1e6)
+    return spark.createDataFrame([(found,)], "n long")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyarrow import fs
+from pyspark.sql import DataFrame
 
 
 def opened(uri: str) -> tuple[fs.FileSystem, str]:
@@ -38,6 +42,23 @@ def children(store: fs.FileSystem, folder: str) -> list[Listed]:
 
 
 def _is_link(path: str) -> bool:
-    import os
-
     return os.path.islink(path)
+
+
+def write_files(rows: DataFrame, root: str) -> int:
+    """Writes (path below root, content) as files from tasks, and returns how many; a task that runs again writes them anew."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = opened(root)
+        made: set[str] = set()
+        for batch in batches:
+            for path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                folder = f"{top}/{path}".rpartition("/")[0]
+                if folder not in made:
+                    store.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with store.open_output_stream(f"{top}/{path}") as f:
+                    f.write(content or b"")
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    return rows.select("path", "content").mapInArrow(run, "n long").groupBy().sum("n").first()[0] or 0
