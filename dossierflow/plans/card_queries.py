@@ -1,10 +1,11 @@
-"""Queries over cards, drafts and front matter: written as files from `customer` and read back."""
+"""Queries over cards, drafts, front matter and sheets, made from the given tables."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from dossierflow.operators import cards
+from dossierflow.operators import cards, sheets
 from dossierflow.plans.registry import query
 from dossierflow.plans.source_queries import _folder
 from dossierflow.session import read_table
@@ -91,3 +92,48 @@ def k7_people(spark, sf_dir):
     table = F.regexp_extract("text", r"(?s)\|---\|---\|---\|---\|---\|---\|---\|\n(.*?)\n\n", 1)
     number = lambda name: F.regexp_extract("safe", name + r": (\d+)", 1).cast("long")
     return full.join(safe, "domain").select("domain", number("uniche").alias("n"), number(r"`from`\)").alias("messages"), F.sha2(table, 256).alias("table_sha256"))
+
+
+# ---------------------------------------------------------------- sheets as cells
+
+#: A sheet for each order: a title, a gap, a header from its second column on, a line a line item, a gap, a note with an address beyond Z.
+CELLS = """SELECT o_orderkey AS sheet, 0 AS row, 0 AS col, concat('Ordine ', CAST(o_orderkey AS STRING)) AS text FROM orders
+UNION ALL SELECT o_orderkey, 2, unnest([0, 2, 3, 4]), unnest(['x', 'parte', 'pezzi', 'importo']) FROM orders
+UNION ALL SELECT l_orderkey, 2 + k, 2, CASE WHEN k % 2 = 0 THEN NULL ELSE CAST(l_partkey AS STRING) END FROM lines UNION ALL SELECT l_orderkey, 2 + k, 3, CAST(CAST(l_quantity AS BIGINT) AS STRING) FROM lines
+UNION ALL SELECT l_orderkey, 2 + k, 4, CAST(l_linenumber AS STRING) FROM lines
+UNION ALL SELECT o_orderkey, 40, 27 + CAST(o_orderkey % 3 AS INTEGER), 'nota' FROM orders UNION ALL SELECT o_orderkey, 41, 3, 'dopo' FROM orders"""
+LINES = "lines AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS k FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders))"
+
+
+def _sheet_cells(spark, sf_dir):
+    orders, key = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sheet")), F.col("sheet")
+    cell = lambda rows, row, col, text: rows.select("sheet", row.cast("long").alias("row"), col.cast("long").alias("col"), text.alias("text"))
+    k = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity"))
+    items = read_table(spark, sf_dir, "lineitem").withColumn("k", k).withColumnRenamed("l_orderkey", "sheet").join(orders, "sheet", "left_semi")
+    head = orders.select("sheet", F.explode(F.map_from_arrays(F.array(*map(F.lit, (0, 2, 3, 4))), F.array(*map(F.lit, ("x", "parte", "pezzi", "importo"))))).alias("col", "text"))
+    parts = [
+        cell(orders, F.lit(0), F.lit(0), F.concat(F.lit("Ordine "), key.cast("string"))),
+        cell(head, F.lit(2), F.col("col"), F.col("text")),
+        cell(items, F.col("k") + 2, F.lit(2), F.when(F.col("k") % 2 != 0, F.col("l_partkey").cast("string"))),
+        cell(items, F.col("k") + 2, F.lit(3), F.col("l_quantity").cast("long").cast("string")),
+        cell(items, F.col("k") + 2, F.lit(4), F.col("l_linenumber").cast("string")),
+        cell(orders, F.lit(40), 27 + key % 3, F.lit("nota")),
+        cell(orders, F.lit(41), F.lit(3), F.lit("dopo")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("S21_W10_sheet_tables", f"WITH {LINES} SELECT l_orderkey AS sheet, k AS line, place, name, text FROM (SELECT l_orderkey, k, 0 AS place, 'parte' AS name, CASE WHEN k % 2 = 0 THEN NULL ELSE CAST(l_partkey AS STRING) END AS text FROM lines UNION ALL SELECT l_orderkey, k, 1, 'pezzi', CAST(CAST(l_quantity AS BIGINT) AS STRING) FROM lines UNION ALL SELECT l_orderkey, k, 2, 'importo', CAST(l_linenumber AS STRING) FROM lines) WHERE text IS NOT NULL")
+def s21(spark, sf_dir):
+    return sheets.tables(_sheet_cells(spark, sf_dir), ["sheet"])
+
+
+@query(
+    "X35_free_cells",
+    "SELECT o_orderkey AS sheet, unnest(['A1', 'A3', CASE o_orderkey % 3 WHEN 0 THEN 'AB41' WHEN 1 THEN 'AC41' ELSE 'AD41' END, 'D42']) AS address, unnest([concat('Ordine ', CAST(o_orderkey AS STRING)), 'x', 'nota', 'dopo']) AS text FROM orders",
+)
+def x35(spark, sf_dir):
+    return sheets.free_cells(_sheet_cells(spark, sf_dir), ["sheet"])

@@ -149,38 +149,79 @@ def longest_run(cells: list[str]) -> tuple[int, int]:
     return best
 
 
-def _xlsx(raw: bytes) -> tuple[str, float]:
+def _cells(raw: bytes) -> Iterator[tuple[str, int, int, str]]:
+    """(sheet, row, column, text) of the filled cells of a workbook, numbered from 0, sheet by sheet and in order."""
     archive = _unzip(raw)
     shared = []
     if "xl/sharedStrings.xml" in archive.namelist():
         shared = ["".join(t.text or "" for t in si.iter(f"{_S}t")) for si in ElementTree.fromstring(archive.read("xl/sharedStrings.xml"))]
     names = [s.get("name") for s in ElementTree.fromstring(archive.read("xl/workbook.xml")).iter(f"{_S}sheet")]
-    out = []
     for k, name in enumerate(names, 1):
-        rows: list[list[str]] = []
+        row = -1
         for r in ElementTree.fromstring(archive.read(f"xl/worksheets/sheet{k}.xml")).iter(f"{_S}row"):
-            cells: dict[int, str] = {}
+            row = int(r.get("r", row + 2)) - 1  # rows without cells may be left out
+            col = -1
             for c in r.iter(f"{_S}c"):
                 at = 0
                 for letter in re.match(r"[A-Z]*", c.get("r", ""))[0]:
                     at = at * 26 + ord(letter) - 64
+                col = at - 1 if at else col + 1
                 value = c.find(f"{_S}v")
                 text = "".join(t.text or "" for t in c.iter(f"{_S}t")) if value is None else value.text or ""
-                cells[at - 1 if at else len(cells)] = shared[int(text)] if c.get("t") == "s" and text else text
-            rows.append([cells.get(i, "") for i in range(max(cells, default=-1) + 1)])
-        head = next((i for i, r in enumerate(rows) if longest_run(r)[1] >= 3), None)
+                text = shared[int(text)] if c.get("t") == "s" and text else text
+                if text:
+                    yield name, row, col, text
+        yield name, -1, -1, ""  # an empty sheet has its name
+
+
+def _xlsx(raw: bytes) -> tuple[str, float]:
+    sheets: dict[str, dict[int, dict[int, str]]] = {}
+    for name, row, col, text in _cells(raw):
+        own = sheets.setdefault(name, {})
+        if row >= 0:
+            own.setdefault(row, {})[col] = text
+    out = []
+    for name, rows in sheets.items():
+        lines = {i: [cells.get(c, "") for c in range(max(cells) + 1)] for i, cells in sorted(rows.items())}
+        head = next((i for i, r in lines.items() if longest_run(r)[1] >= 3), None)
         out.append(f"## Foglio {name}")
+        inside: set[tuple[int, int]] = set()
         if head is not None:
-            first, n = longest_run(rows[head])
-            body = []
-            for r in rows[head + 1 : head + 1 + MAX_ROWS]:
-                if not any(r[first : first + n]):
-                    break
-                body.append(r[first : first + n])
-            out.append(table([rows[head][first : first + n], *body]))
-            rows = rows[:head] + rows[head + 1 + len(body) :]
-        out += [f"- {c}" for r in rows for c in r if c]
-    return "\n\n".join(out), 1.0 if len(out) > len(names) else 0.2
+            first, n = longest_run(lines[head])
+            stop = head
+            while stop in lines:
+                stop += 1
+            pick = lambda i, lines=lines, first=first, n=n: [*lines[i][first : first + n], *[""] * max(0, first + n - max(first, len(lines[i])))]
+            shown = range(head + 1, min(stop, head + 1 + MAX_ROWS))
+            out.append(table([pick(head), *map(pick, shown)]))
+            if len(shown) < stop - head - 1:
+                out.append(f"_{stop - head - 1 - len(shown)} righe oltre le prime {MAX_ROWS} non mostrate_")
+            inside = {(i, c) for i in range(head, stop) for c in range(first, first + n)}
+        out += [f"- {c}" for i, r in lines.items() for k, c in enumerate(r) if c and (i, k) not in inside]
+    return "\n\n".join(out), 1.0 if len(out) > len(sheets) else 0.2
+
+
+def workbook_cells(files: DataFrame) -> DataFrame:
+    """(path, sheet, row, col, text, warning) of workbooks (path, content): a row a filled cell, whatever their number; a broken file is one row with a warning."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["path", "sheet", "row", "col", "text", "warning"]
+        for frame in frames:
+            for path, raw in zip(frame["path"], frame["content"], strict=True):
+                out: list[tuple] = []
+                try:
+                    for cell in _cells(bytes(raw)):
+                        if cell[1] >= 0:
+                            out.append((path, *cell, None))
+                        if len(out) == 50_000:
+                            yield pd.DataFrame(out, columns=names)
+                            out = []
+                except Exception as e:
+                    out.append((path, None, None, None, None, f"{type(e).__name__}: {e}"[:300]))
+                frame_out = pd.DataFrame(out, columns=names)
+                yield frame_out.astype({"row": "Int64", "col": "Int64"})
+
+    return files.select("path", "content").mapInPandas(run, "path string, sheet string, row long, col long, text string, warning string")
 
 
 _PARSERS = {"plain": _plain, "csv": _csv, "html": lambda raw: (html_text(decode(raw)), 1.0), "eml": _eml, "docx": _docx, "xlsx": _xlsx}
