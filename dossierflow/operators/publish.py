@@ -60,10 +60,10 @@ def append_new(rows: DataFrame, path: str, key: str) -> None:
     rows.dropDuplicates([key]).join(known, key, "left_anti").write.mode("append").json(path)
 
 
-def write_notes(notes: DataFrame, root: str, backup_at: str | None = None) -> DataFrame:
+def write_notes(notes: DataFrame, root: str, backup_at: str | None = None, backups: str = ".backups") -> DataFrame:
     """Writes (path, text) below `root`, a folder that all executors share, and returns (path, action) as written.
 
-    An identical note is left alone. One that differs is first copied to .custodia-backups as stem_TIME.md if
+    An identical note is left alone. One that differs is first copied to the folder `backups` as stem_TIME.md if
     `backup_at` gives the time. A note is written beside its place and moved there, so a task that runs twice does no
     harm and readers see a whole note. A path that leads out of the root is refused. The result is computed as it is
     read: write it or count it once.
@@ -88,7 +88,7 @@ def write_notes(notes: DataFrame, root: str, backup_at: str | None = None) -> Da
                 os.makedirs(os.path.dirname(place), exist_ok=True)
                 moves = [(place, text)]
                 if old is not None and backup_at:
-                    folder = os.path.join(top, ".custodia-backups")
+                    folder = os.path.join(top, backups)
                     os.makedirs(folder, exist_ok=True)
                     moves.insert(0, (os.path.join(folder, f"{os.path.splitext(os.path.basename(place))[0]}_{backup_at}.md"), old))
                 for to, what in moves:
@@ -102,6 +102,12 @@ def write_notes(notes: DataFrame, root: str, backup_at: str | None = None) -> Da
     return notes.select("path", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(write, "path string, action string")
 
 
+def archived(done: DataFrame, archive: DataFrame, folder: str = "_archive") -> DataFrame:
+    """draft_id, target: where rejected drafts (outcomes with name) go: the folder, under their name or the next that neither it nor another draft has."""
+    named = done.where("outcome = 'archived'").select("draft_id", F.concat(F.lit(f"{folder}/"), "name").alias("target"))
+    return unique_targets(named, archive, "draft_id").select("draft_id", "target")
+
+
 def mark_written(entities: DataFrame, published: DataFrame, keys: list[str], at: Column) -> DataFrame:
     """Sets written_at of the published entities; one that has it keeps it, so a second run changes nothing."""
     done = published.select(*keys).distinct().withColumn("_done", F.lit(True))

@@ -118,7 +118,7 @@ def y10(spark, sf_dir):
 
 # ---------------------------------------------------------------- publishing
 
-DRAFT = "d AS (SELECT doc_id AS draft_id, CASE doc_id % 4 WHEN 0 THEN 'approved' WHEN 1 THEN 'edited' WHEN 2 THEN 'rejected' ELSE 'parked' END AS stato, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE concat('t', doc_id, '.md') END AS target, substr(text, 1, 40) AS text, CASE WHEN doc_id % 4 = 1 THEN concat('edited ', doc_id) END AS edits FROM documents), e AS (SELECT concat('t', doc_id, '.md') AS target, concat('old ', doc_id) AS old FROM documents WHERE doc_id % 5 = 0)"
+DRAFT = "d AS (SELECT doc_id AS draft_id, CASE doc_id % 4 WHEN 0 THEN 'approved' WHEN 1 THEN 'edited' WHEN 2 THEN 'rejected' ELSE 'parked' END AS stato, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE concat('t', doc_id, '.md') END AS target, text, CASE WHEN doc_id % 4 = 1 THEN concat('edited ', doc_id) END AS edits FROM documents), e AS (SELECT concat('t', doc_id, '.md') AS target, concat('old ', doc_id) AS old FROM documents WHERE doc_id % 5 = 0)"
 
 
 def _flush(policy):
@@ -126,7 +126,7 @@ def _flush(policy):
         k = F.col("doc_id")
         docs = read_table(spark, sf_dir, "documents").withColumn("t", F.concat(F.lit("t"), k.cast("string"), F.lit(".md")))
         stato = F.when(k % 4 == 0, "approved").when(k % 4 == 1, "edited").when(k % 4 == 2, "rejected").otherwise("parked")
-        drafts = docs.select(k.alias("draft_id"), stato.alias("stato"), F.when(k % 9 != 0, F.col("t")).alias("target"), F.substring("text", 1, 40).alias("text"), F.when(k % 4 == 1, F.concat(F.lit("edited "), k.cast("string"))).alias("edits"))
+        drafts = docs.select(k.alias("draft_id"), stato.alias("stato"), F.when(k % 9 != 0, F.col("t")).alias("target"), "text", F.when(k % 4 == 1, F.concat(F.lit("edited "), k.cast("string"))).alias("edits"))
         existing = docs.where("doc_id % 5 = 0").select(F.col("t").alias("target"), F.concat(F.lit("old "), k.cast("string")).alias("text"))
         done = publish.outcomes(drafts, existing, policy)
         return done.select("draft_id", "action", "outcome", "target", F.sha2("content", 256).alias("content_sha256"))
@@ -143,6 +143,21 @@ query("K9_publish_merge", _flush_sql("d.target", f"CASE WHEN old IS NOT NULL THE
 query("K9_publish_rename", _flush_sql("CASE WHEN old IS NOT NULL AND stato <> 'rejected' THEN replace(d.target, '.md', '-1.md') ELSE d.target END", "coalesce(edits, text)", ""))(_flush("rename"))
 
 
+query("K9_publish_overwrite", _flush_sql("d.target", "coalesce(edits, text)", ""))(_flush("overwrite"))
+
+
+#: Ten neighbouring drafts share a name; every third name is in the archive already.
+ARCHIVED = """SELECT draft_id, concat('_archive/n', stem, CASE WHEN k = 0 THEN '' ELSE concat('-', k) END, '.md') AS target FROM (SELECT draft_id, draft_id // 10 AS stem,
+ row_number() OVER (PARTITION BY draft_id // 10 ORDER BY draft_id) - CASE WHEN (draft_id // 10) % 3 = 0 THEN 0 ELSE 1 END AS k FROM d WHERE stato = 'rejected')"""
+
+
+@query("Y23_archive", f"WITH {DRAFT} {ARCHIVED}")
+def y23(spark, sf_dir):
+    stem = lambda c: F.concat(F.lit("n"), F.floor(F.col(c) / 10).cast("string"), F.lit(".md"))
+    there = read_table(spark, sf_dir, "documents").where("floor(doc_id / 10) % 3 = 0").select(F.concat(F.lit("_archive/"), stem("doc_id")).alias("target")).distinct()
+    return publish.archived(_flush("skip")(spark, sf_dir).withColumn("name", stem("draft_id")), there)
+
+
 @query("K3_audit_rows", f"WITH {DRAFT} SELECT draft_id, stato AS action, 'anna' AS \"user\", 'b1' AS batch, CASE WHEN stato <> 'rejected' AND old IS NULL THEN d.target END AS applied_to, 'skip' AS conflict_policy, CASE WHEN stato = 'rejected' THEN 'archived' WHEN d.target IS NULL THEN 'skipped-no-target' WHEN old IS NOT NULL THEN 'skipped-conflict' ELSE 'applied' END AS outcome, 'now' AS ts FROM d LEFT JOIN e USING (target) WHERE stato <> 'parked'")
 def k3(spark, sf_dir):
     return publish.audit_rows(_flush("skip")(spark, sf_dir), F.lit("b1"), "anna", F.lit("now"), "skip")

@@ -14,7 +14,7 @@ def test_notes_are_written_once_and_backed_up(spark, tmp_path):
     run = lambda df, at=None: {r.path: r.action for r in publish.write_notes(df, str(tmp_path / "v"), at).collect()}
     assert run(notes(("a/x.md", "one"), ("y.md", None), ("../out.md", "no"))) == {"a/x.md": "created", "y.md": "created", "../out.md": "refused"}
     assert run(notes(("a/x.md", "one"), ("y.md", "two\r\n")), "T1") == {"a/x.md": "identical", "y.md": "replaced"}
-    assert (tmp_path / "v/.custodia-backups/y_T1.md").read_text() == "" and (tmp_path / "v/y.md").read_bytes() == b"two\r\n"
+    assert (tmp_path / "v/.backups/y_T1.md").read_text() == "" and (tmp_path / "v/y.md").read_bytes() == b"two\r\n"
     assert not (tmp_path / "out.md").exists()
     assert run(notes()) == {}
 
