@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dossierflow.functions.text import personal_values
+from dossierflow.functions.text import holds_personal, personal_values
 from dossierflow.operators.dedup import ordinals
 
 KINDS = ("iban", "cf", "email", "phone")
@@ -17,7 +17,7 @@ def dictionary(docs: DataFrame, known: DataFrame | None = None, kinds: tuple[str
     Values in `known` keep their placeholder; new ones are numbered behind the highest of their kind. A value keeps
     the kind it is first seen as. Counting runs per range partition, not in one task.
     """
-    found = docs.select(key, F.posexplode(personal_values(F.col("text"), kinds)).alias("pos", "v")).select(key, "pos", "v.kind", "v.value")
+    found = docs.where(holds_personal(F.col("text"), kinds)).select(key, F.posexplode(personal_values(F.col("text"), kinds)).alias("pos", "v")).select(key, "pos", "v.kind", "v.value")
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
     first = found.groupBy("value").agg(F.min(F.struct(F.col(key), rank.alias("rank"), "pos", "kind")).alias("f"))
     fresh = first.select("value", F.col("f.kind").alias("kind"), F.col(f"f.{key}").alias("at"), F.col("f.pos").alias("pos"))
@@ -33,20 +33,28 @@ def dictionary(docs: DataFrame, known: DataFrame | None = None, kinds: tuple[str
     return new if known is None else known.select("kind", "value", "placeholder").unionByName(new)
 
 
+def _swapped(docs: DataFrame, holds: Column, pairs: DataFrame, key: str, old: str, new: str) -> DataFrame:
+    """Texts that hold something are joined with their pairs (longest first); the others are left where they lie."""
+    swap = F.aggregate("pairs", F.col("text"), lambda acc, p: F.replace(acc, p[old], p[new]))
+    some = docs.where(holds).join(pairs, key, "left").withColumn("text", F.when(F.col("pairs").isNull(), F.col("text")).otherwise(swap)).drop("pairs")
+    return some.select(docs.columns).unionByName(docs.where(~F.coalesce(holds, F.lit(False))))
+
+
 def redact(docs: DataFrame, names: DataFrame, kinds: tuple[str, ...] = KINDS, key: str = "doc_id") -> DataFrame:
     """`docs` with every value of the dictionary that the text holds replaced, longest first."""
-    values = docs.select(key, F.explode(personal_values(F.col("text"), kinds)).alias("v")).select(key, "v.value").distinct()
+    holds = holds_personal(F.col("text"), kinds)
+    values = docs.where(holds).select(key, F.explode(personal_values(F.col("text"), kinds)).alias("v")).select(key, "v.value").distinct()
     pairs = values.join(names.select("value", "placeholder"), "value").groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.char_length("value").alias("n"), "value", "placeholder")), asc=False).alias("pairs"))
-    swapped = F.aggregate("pairs", F.col("text"), lambda acc, p: F.replace(acc, p["value"], p["placeholder"]))
-    return docs.join(pairs, key, "left").withColumn("text", F.when(F.col("pairs").isNull(), F.col("text")).otherwise(swapped)).drop("pairs")
+    return _swapped(docs, holds, pairs, key, "value", "placeholder")
 
 
 def unredact(docs: DataFrame, names: DataFrame, key: str = "doc_id") -> DataFrame:
     """The inverse: placeholders that the dictionary knows become their values, others stay."""
-    held = docs.select(key, F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"<(?:email|cf|iban|phone)-\d+>"), F.lit(0)))).alias("placeholder"))
+    form = r"<(?:email|cf|iban|phone)-\d+>"
+    holds = F.col("text").rlike(form)
+    held = docs.where(holds).select(key, F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(form), F.lit(0)))).alias("placeholder"))
     pairs = held.join(names.select("placeholder", "value"), "placeholder").groupBy(key).agg(F.collect_list(F.struct("placeholder", "value")).alias("pairs"))
-    swapped = F.aggregate("pairs", F.col("text"), lambda acc, p: F.replace(acc, p["placeholder"], p["value"]))
-    return docs.join(pairs, key, "left").withColumn("text", F.when(F.col("pairs").isNull(), F.col("text")).otherwise(swapped)).drop("pairs")
+    return _swapped(docs, holds, pairs, key, "placeholder", "value")
 
 
 def redact_blocks(blocks: Column, pairs: Column) -> Column:

@@ -32,6 +32,27 @@ def x12b(spark, sf_dir):
     return out.select("doc_id", F.size(F.array_distinct(F.regexp_extract_all("text", F.lit(r"<email-\d+>"), F.lit(0)))).cast("long").alias("n_values"))
 
 
+#: Two customers share each value: an IBAN, a tax code, an address and a number.
+PERSONAL = """SELECT c_custkey AS doc_id, c_custkey // 2 AS j, concat('IT60X05428111', lpad(CAST(c_custkey // 2 AS STRING), 10, '0')) AS iban, concat('RSSMRA85T10A', lpad(CAST(c_custkey // 2 % 1000 AS STRING), 3, '0'), 'X') AS cf,
+ concat('u', CAST(c_custkey // 2 AS STRING), '@posta.it') AS email, concat('02 ', CAST(100 + c_custkey // 2 % 900 AS STRING), ' ', lpad(CAST(c_custkey // 2 % 100000 AS STRING), 5, '0')) AS phone, c_custkey % 5 = 0 AS none, c_name FROM customer"""
+
+
+@query(
+    "X12_all_kinds",
+    f"""WITH p AS ({PERSONAL}), n AS (SELECT j, cf, row_number() OVER (ORDER BY min(doc_id)) AS k FROM p WHERE NOT none GROUP BY ALL), c AS (SELECT cf, row_number() OVER (ORDER BY min(doc_id)) AS kc FROM p WHERE NOT none GROUP BY cf)
+SELECT doc_id, CASE WHEN none THEN c_name ELSE concat('Cliente ', c_name, ', IBAN <iban-', k, '>, cf <cf-', kc, '>; posta <email-', k, '>, tel. <phone-', k, '>. Ancora <email-', k, '>') END AS text FROM p LEFT JOIN n USING (j) LEFT JOIN c ON c.cf = p.cf""",
+)
+def x12k(spark, sf_dir):
+    k, j = F.col("c_custkey"), F.floor(F.col("c_custkey") / 2)
+    pad = lambda c, n: F.lpad(c.cast("string"), n, "0")
+    mail = F.concat(F.lit("u"), j.cast("string"), F.lit("@posta.it"))
+    text = F.concat(
+        F.lit("Cliente "), "c_name", F.lit(", IBAN IT60X05428111"), pad(j, 10), F.lit(", cf RSSMRA85T10A"), pad(j % 1000, 3), F.lit("X; posta "), mail, F.lit(", tel. 02 "), (j % 900 + 100).cast("string"), F.lit(" "), pad(j % 100000, 5), F.lit(". Ancora "), mail
+    )
+    docs = read_table(spark, sf_dir, "customer").select(k.alias("doc_id"), F.when(k % 5 == 0, F.col("c_name")).otherwise(text).alias("text"))
+    return redaction.redact(docs, redaction.dictionary(docs))
+
+
 @query("X13_unredact", "SELECT doc_id, sha256(text) AS sha256 FROM documents")
 def x13(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
