@@ -42,8 +42,8 @@ DICTIONARY = (
     "list", "map", "node", "item", "value", "size", "type", "time", "date", "line", "text", "key", "class", "image", "error", "admin", "lorem",
 )
 PATHS = re.compile(r"test|example|sample|docs?/|fixture|mock|vendor|\.lock|\.md$", re.I)
-_NAME = re.compile(r"(?i)\b[\w.-]*(?:" + "|".join(NAMES) + r")[\w.-]*[\"']?\s*$")
-_VALUE = re.compile(r"^[\"'(\[{<]*(?:([\w.-]+)[\"']?\s*[:=]+\s*[\"']?)?(.*?)[\"')\]}>,;.!?]*$")
+_OPENS, _CLOSES = "\"'([{<", "\"')]}>,;.!?"
+_LEAD = re.compile(r"[\w.-]++[\"']?\s*[:=]++\s*[\"']?")
 _KINDS = (("aws_key", re.compile(r"^AKIA[0-9A-Z]{16}$")), ("github", re.compile(r"^gh[pousr]_\w{20,}$")), ("jwt", re.compile(r"^eyJ[\w-]+\.[\w-]+")), ("hex", re.compile(r"^[0-9a-fA-F]{12,}$")))
 _PART = re.compile(r"[^\"'`,;&?@(){}\[\]<>|\\:=]+(?:=+(?=$|[\"'`,;&?@(){}\[\]<>|\\]))?")
 _HARD = re.compile(r"[0-9=]")
@@ -200,8 +200,8 @@ def candidates(column: pa.Array) -> Iterator[tuple[int, int, str, str, str]]:
         while rows[last - 1] != rows[i]:
             last -= 1
         whole = raw[starts[i] : ends[i]].decode("utf-8", "replace")
-        found = _VALUE.match(whole)
-        value, (begin, end) = found[2], found.span(2)
+        begin, end = value_span(whole)
+        value = whole[begin:end]
         before, after = raw[starts[first] : starts[i]].decode("utf-8", "replace"), raw[ends[i] : ends[last - 1]].decode("utf-8", "replace")
         parts = [m.span() for m in _PART.finditer(whole)]
         inner = [k for k, (x, y) in enumerate(parts) if y - x >= MIN_CHARS and (x, y) != (begin, end)]
@@ -217,8 +217,27 @@ def candidates(column: pa.Array) -> Iterator[tuple[int, int, str, str, str]]:
             yield int(rows[i]), int(starts[i]) + behind, whole[x:y], lead if k else before + lead, whole[y : parts[k + 1][1]] if k + 1 < len(parts) else whole[y:] + after
 
 
+def value_span(word: str) -> tuple[int, int]:
+    """Where a word's value lies: behind opening signs and a name with = or :, before closing signs. One look at each character."""
+    begin = len(word) - len(word.lstrip(_OPENS))
+    lead = _LEAD.match(word, begin)
+    begin = lead.end() if lead else begin
+    return begin, begin + len(word[begin:].rstrip(_CLOSES))
+
+
+def named(before: str) -> bool:
+    """Whether the last word, with a quote behind it or not, holds one of NAMES."""
+    text = before.rstrip()
+    text = text[:-1] if text.endswith(('"', "'")) else text
+    at = len(text)
+    while at and (text[at - 1].isalnum() or text[at - 1] in "_.-"):
+        at -= 1
+    last = text[at:].lower()
+    return any(name in last for name in NAMES)
+
+
 def kind_of(value: str, before: str) -> str:
-    return next((k for k, pattern in _KINDS if pattern.match(value)), "assignment" if _NAME.search(before.rstrip("=:\"' ")) else "generic")
+    return next((k for k, pattern in _KINDS if pattern.match(value)), "assignment" if named(before.rstrip("=:\"' ")) else "generic")
 
 
 def scan(docs: DataFrame, forest: Forest, path_column: str | None = None) -> DataFrame:
