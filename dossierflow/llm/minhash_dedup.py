@@ -2,8 +2,8 @@
 
 A document's set holds its distinct 5-word shingles (64-bit hashes; words lower-cased in A-Z). Sets are sketched
 into REGISTERS buckets: each shingle falls into one bucket, and the bucket keeps the least hash in compressed form,
-the number of leading zeros and MANTISSA bits after them. Buckets that stay empty are filled by hashing the set
-again with the next seed, so short texts have full sketches too.
+the number of leading zeros and MANTISSA bits after them. Buckets that stay empty borrow from a filled one, in an
+order of their own, so short texts have full sketches too.
 
 1. Documents with equal sets are merged first, whatever their number; one representative of each goes on.
 2. Bands of ROWS compressed registers are the candidate buckets. A first round tests every member of a bucket
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossierflow.llm.arrow_text import buffers, gram_hashes, mix, slices, span_hashes, word_hashes, words
+from dossierflow.llm.arrow_text import buffers, gram_hashes, mix, slices, span_hashes, strong_word_hashes, words
 from dossierflow.llm.components import components
 from dossierflow.llm.durable import cut
 from dossierflow.session import read_table
@@ -40,8 +40,8 @@ REGISTERS, ROWS, MANTISSA = 128, 4, 10
 SLACK = 0.2
 #: Ids of candidate documents are broadcast up to this many, beyond it they are joined by a shuffle.
 BROADCAST_IDS = 500_000
-#: Shingles of one part of a cluster, and bytes of the incidence matrix that a cell holds at a time.
-PART_SHINGLES, CELL_BYTES = 200_000, 32 << 20
+#: Shingles and documents of one part of a cluster, and bytes of the incidence matrix that a cell holds at a time.
+PART_SHINGLES, PART_DOCS, CELL_BYTES = 200_000, 2_000, 32 << 20
 U64 = np.uint64
 
 
@@ -51,7 +51,7 @@ def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     starts, ends, rows = words(data, offsets)
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    hashes = word_hashes(data, starts, ends, fold_ascii=True)
+    hashes = strong_word_hashes(data, starts, ends, fold_ascii=True)
     grams = gram_hashes(hashes, SHINGLE)
     whole = np.flatnonzero(rows[: len(grams)] == rows[SHINGLE - 1 :]) if len(grams) else np.zeros(0, np.int64)
     first = np.searchsorted(rows, np.arange(len(column) + 1))
@@ -65,23 +65,37 @@ def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return found[new], owner[new]
 
 
+#: For each register the order in which it looks for another to borrow from.
+_RANK = np.argsort(np.random.default_rng(20240301).random((REGISTERS, REGISTERS)), axis=1).argsort(axis=1).astype(np.uint8)
+
+
+def _borrowed(least: np.ndarray, empty: np.uint64) -> np.ndarray:
+    """Empty registers of each row take the value of the filled one that comes first in their own fixed order.
+
+    Two sets agree in such a register if the first that either has filled belongs to what they share, so it is as good as
+    any; orders differ between registers, so they are independent. Rows are taken by how many registers they have filled.
+    """
+    filled = least != empty
+    count = filled.sum(axis=1)
+    out = least.copy()
+    for m in np.unique(count[(count > 0) & (count < REGISTERS)]).tolist():
+        rows = np.flatnonzero(count == m)
+        for part in np.array_split(rows, 1 + len(rows) * m * REGISTERS // (16 << 20)):
+            donors = np.nonzero(filled[part])[1].reshape(len(part), m)
+            best = donors[np.arange(len(part))[:, None], _RANK.T[donors].argmin(axis=1)]
+            out[part] = np.where(filled[part], least[part], least[part[:, None], best])
+    return out
+
+
 def registers(found: np.ndarray, owner: np.ndarray, rows: int) -> np.ndarray:
     """HyperMinHash registers, rows x REGISTERS (0 for an empty set): leading zeros << MANTISSA | mantissa."""
-    empty = np.iinfo(np.uint64).max
+    empty = U64(np.iinfo(np.uint64).max)
     least = np.full(rows * REGISTERS, empty, np.uint64)
-    shift = U64(64 - REGISTERS.bit_length() + 1)
-    seed, elements, owners = 0, found, owner
-    while len(elements):
-        h = mix(elements + U64(seed * 0x9E3779B97F4A7C15 & 2**64 - 1))
-        slot = owners * REGISTERS + (h >> shift).astype(np.int64)
-        value = h << U64(REGISTERS.bit_length() - 1)
-        value[value == empty] -= U64(1)
-        fresh = np.full(rows * REGISTERS, empty, np.uint64)
-        np.minimum.at(fresh, slot, value)
-        least = np.where(least == empty, fresh, least)
-        lacking = (least.reshape(rows, REGISTERS) == empty).any(axis=1)
-        rest = lacking[owners]
-        elements, owners, seed = elements[rest], owners[rest], seed + 1
+    h = mix(found)
+    value = h << U64(REGISTERS.bit_length() - 1)
+    value[value == empty] -= U64(1)
+    np.minimum.at(least, owner * REGISTERS + (h >> U64(64 - REGISTERS.bit_length() + 1)).astype(np.int64), value)
+    least = _borrowed(least.reshape(rows, REGISTERS), empty).ravel()
     # Leading zeros by the exponent of a float; the top 52 bits are exact there.
     top = np.maximum(least >> U64(12), U64(1))
     zeros = 51 - (np.frexp(top.astype(np.float64))[1] - 1)
@@ -222,8 +236,8 @@ def _across(open_: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     """Links between different components among documents that share a bucket; `open_` has band, doc_id, component.
 
     Documents are brought together by cluster (connected by shared buckets). Members outside a cluster's largest component
-    must meet all others, exactly. A cluster is dealt into cells of two parts of about PART_SHINGLES shingles, each a
-    group of its own, so no task holds more than that of a cluster, whatever its size; intersections are matrix products.
+    must meet all others, exactly. A cluster is dealt into cells of two parts of about PART_SHINGLES shingles and PART_DOCS
+    documents at most, each a group of its own, so no task holds more than that of a cluster, whatever its size; intersections are matrix products.
     The largest component's members don't meet one another. Cells grow with the square of what lies outside it:
     documents that share much and yet stay below the threshold are compared, none is passed over.
     """
@@ -232,9 +246,9 @@ def _across(open_: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     members = cut(open_.select("doc_id", "component").distinct().join(clusters, "doc_id").join(reps.select("doc_id", "n_shingles"), "doc_id"), "minhash-members")
     few = members.count() <= BROADCAST_IDS
     sizes = members.groupBy("cluster", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("volume"))
-    parts = lambda v: F.greatest(F.ceil(v / PART_SHINGLES), F.lit(1)).cast("int")
-    main = sizes.groupBy("cluster").agg(F.max_by(F.struct("component", "volume"), F.struct("n", "component")).alias("m"), F.sum("volume").alias("all"))
-    plan = main.select("cluster", F.col("m.component").alias("main"), parts(F.col("m.volume")).alias("main_parts"), parts(F.col("all") - F.col("m.volume")).alias("rest_parts"))
+    parts = lambda v, n: F.greatest(F.ceil(v / PART_SHINGLES), F.ceil(n / PART_DOCS), F.lit(1)).cast("int")
+    main = sizes.groupBy("cluster").agg(F.max_by(F.struct("component", "volume", "n"), F.struct("n", "component")).alias("m"), F.sum("volume").alias("all"), F.sum("n").alias("docs"))
+    plan = main.select("cluster", F.col("m.component").alias("main"), parts(F.col("m.volume"), F.col("m.n")).alias("main_parts"), parts(F.col("all") - F.col("m.volume"), F.col("docs") - F.col("m.n")).alias("rest_parts"))
     placed = members.join(plan, "cluster").withColumn("is_main", F.col("component") == F.col("main"))
     part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.when(F.col("is_main"), F.col("main_parts")).otherwise(F.col("rest_parts")).cast("long")).cast("int")
     upto = lambda n: F.sequence(F.lit(0), n - 1)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossierflow.llm.arrow_text import buffers, gram_hashes, ranges, slices, span_hashes, word_hashes, words
+from dossierflow.llm.arrow_text import buffers, gram_hashes, ranges, slices, span_hashes, strong_word_hashes, words
 from dossierflow.llm.durable import cut
 from dossierflow.session import read_table
 
@@ -47,7 +47,7 @@ def _hashed(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes, the row of each word, and the first word of each row."""
     data, offsets = buffers(column)
     starts, ends, rows = words(data, offsets)
-    return word_hashes(data, starts, ends), rows, np.searchsorted(rows, np.arange(len(column) + 1))
+    return strong_word_hashes(data, starts, ends), rows, np.searchsorted(rows, np.arange(len(column) + 1))
 
 
 def _blocks(window: int, anchor: int):
