@@ -175,6 +175,47 @@ def mime_of(name: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in MIME_TYPES.items() for x in kv]), extension(name))
 
 
+#: Types by leading bytes, for names that tell none.
+HEADS = (("25504446", "application/pdf"), ("504B0304", "application/zip"), ("D0CF11E0A1B11AE1", "application/x-ole-storage"), ("89504E470D0A1A0A", "image/png"), ("FFD8FF", "image/jpeg"))
+
+
+def mime_with_head(name: Column, head: Column) -> Column:
+    """Type by extension, else by the leading bytes, else null."""
+    by_head = F.lit(None).cast("string")
+    for sign, mime in reversed(HEADS):
+        by_head = F.when(F.startswith(F.hex(head), F.lit(sign)), mime).otherwise(by_head)
+    return F.coalesce(mime_of(name), by_head)
+
+
+def safe_name(name: Column) -> Column:
+    """Runs of anything but ASCII letters, digits and ._- as one _ (attachments)."""
+    return F.regexp_replace(name, "[^A-Za-z0-9._-]+", "_")
+
+
+def safe_part(name: Column, spaces: bool = False) -> Column:
+    """Each character but letters and digits of any script and ._- as _ (messages); with spaces kept inside, `unnamed` if nothing is left (services)."""
+    if not spaces:
+        return F.regexp_replace(name, r"[^\p{L}\p{N}._-]", "_")
+    kept = F.trim(F.regexp_replace(name, r"[^\p{L}\p{N}._ -]", "_"))
+    return F.when(kept == "", "unnamed").otherwise(kept)
+
+
+def safe_id(value: Column) -> Column:
+    """Each character but word characters and - as _; `noid` for an empty id (item files of services)."""
+    kept = F.regexp_replace(value.cast("string"), r"[^\p{L}\p{N}_-]", "_")
+    return F.when(kept == "", "noid").otherwise(kept)
+
+
+def first_mark(content: Column) -> Column:
+    """The first 128 bits of SHA-1 over the first MiB, in hex: tells changes in a manifest."""
+    return F.substring(F.sha1(F.substring(content, 1, 1 << 20)), 1, 32)
+
+
+def letter_mark(content: Column, path: Column) -> Column:
+    """Twelve digits of SHA-256 over the first 256 KiB and the path: names a dead letter."""
+    return F.substring(F.sha2(F.concat(F.substring(content, 1, 256 << 10), F.encode(path, "UTF-8")), 256), 1, 12)
+
+
 def domain_slug(domain: Column) -> Column:
     """Slug of a domain without what follows its first dot."""
     return slugify(F.split_part(F.lower(domain), F.lit("."), F.lit(1)), empty="dominio")

@@ -62,6 +62,32 @@ def next_actions(records: DataFrame) -> DataFrame:
     return facts.select(F.when(F.col("n") == 0, "empty").otherwise(said).alias("actions"))
 
 
+def all_actions(progress: DataFrame, drafts: DataFrame, categories: DataFrame, orphans: DataFrame, missing: DataFrame) -> DataFrame:
+    """(place, action, n): what to do next, in order: scan, extract, categorize, approve, review-rules, clean-orphans, complete-objects, else fine.
+
+    progress as `source_progress` gives it; drafts and categories have name and n; orphans and missing a row each, of
+    which objects (area, object) may miss several. n is a count, for review-rules the share of unclear files in percent.
+    """
+    one = lambda df, place, action, n, holds: df.agg(n.alias("n"), F.count("*").alias("_rows")).where(holds).select(F.lit(place).alias("place"), F.lit(action).alias("action"), "n")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("double")
+    zero = F.lit(0.0)
+    unclear = F.coalesce(F.round(100 * F.sum(F.when(F.col("name") == "da-chiarire", F.col("n")).otherwise(0)) / F.sum("n"), 1), zero)
+    parts = [
+        one(progress, 1, "scan", zero, F.col("_rows") == 0),
+        one(progress, 2, "extract", total(F.col("discovered") - F.col("extracted")), F.col("n") > 0),
+        one(progress, 3, "categorize", total(F.col("discovered") - F.col("categorized")), F.col("n") > 0),
+        one(drafts.where("name = 'pending'"), 4, "approve", total("n"), F.col("n") > 0),
+        one(categories, 5, "review-rules", unclear, F.col("n") > 20),
+        one(orphans, 6, "clean-orphans", F.count("*").cast("double"), F.col("n") > 0),
+        one(missing.select("area", "object").distinct(), 7, "complete-objects", F.count("*").cast("double"), F.col("n") > 0),
+    ]
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    # Seven rows at most.
+    return found.unionByName(one(found, 8, "fine", zero, F.col("_rows") == 0))
+
+
 def confidence_label(confidence: Column) -> Column:
     return F.when(confidence < 0.4, "low").when(confidence < 0.7, "medium").otherwise("high")
 
@@ -71,6 +97,13 @@ def throughput(rows: DataFrame, group: str, order: str, clock: str) -> DataFrame
     return rows.select(order, F.count("*").over(running).alias("done"), (F.col(clock) - F.min(clock).over(running)).alias("elapsed_s"))
 
 
+def eta(rows: DataFrame, totals: DataFrame, group: str, order: str, clock: str) -> DataFrame:
+    """throughput with items a second and seconds to go; both null in the first tenth of a second, to go also once all are done or where `totals` (group, total) has none."""
+    running = throughput(rows, group, order, clock).join(rows.select(group, order), order).join(totals, group, "left")
+    rate = F.when(F.col("elapsed_s") > 0.1, F.col("done") / F.col("elapsed_s"))
+    return running.select(order, "done", "elapsed_s", rate.alias("rate"), F.when(F.col("done") < F.col("total"), (F.col("total") - F.col("done")) / rate).alias("eta_s"))
+
+
 def lint(notes: DataFrame, entries: int = 25, stub: int = 15, proposals: int = 15) -> DataFrame:
     """Counts of each note's text, and whether they ask for attention: `## ` entries, lines that aren't blank, sessions opened and closed."""
     count = lambda pattern: F.regexp_count("text", F.lit("(?m)" + pattern)).cast("long")

@@ -131,6 +131,25 @@ def y1(spark, sf_dir):
     return dashboard.next_actions(inventory(spark, sf_dir))
 
 
+@query(
+    "Y1_all_actions",
+    _with_drafts(
+        """, progress AS (SELECT count(*) AS d, count(sha256) FILTER (substr(sha256, 1, 12) IN (SELECT substr(sha256, 1, 12) FROM inv WHERE doc_id % 2 = 0)) AS e, count(categoria) AS c, 100.0 * count(*) FILTER (categoria = 'da-chiarire') / count(categoria) AS u FROM inv),
+objects AS (SELECT count(DISTINCT folder) AS n FROM inv WHERE folder NOT IN (SELECT folder FROM inv WHERE name = 'scheda.md'))
+SELECT 2 AS place, 'extract' AS action, (d - e)::DOUBLE AS n FROM progress WHERE d > e UNION ALL SELECT 3, 'categorize', (d - c)::DOUBLE FROM progress WHERE d > c
+UNION ALL SELECT 4, 'approve', count(*)::DOUBLE FROM ds WHERE stato = 'pending' HAVING count(*) > 0 UNION ALL SELECT 5, 'review-rules', round(u, 1) FROM progress WHERE round(u, 1) > 20
+UNION ALL SELECT 6, 'clean-orphans', count(*)::DOUBLE FROM inv WHERE categoria IS NULL HAVING count(*) > 0 UNION ALL SELECT 7, 'complete-objects', n::DOUBLE FROM objects WHERE n > 0""".lstrip()
+    ).replace("(draft_id)) , progress", "(draft_id)), progress"),
+)
+def y1_all(spark, sf_dir):
+    inv = inventory(spark, sf_dir)
+    done = inv.where("doc_id % 2 = 0 AND sha256 IS NOT NULL").select(F.substring("sha256", 1, 12).alias("sha12"))
+    drafts_ = _drafts(spark, sf_dir).groupBy(F.col("stato").alias("name")).agg(F.count("*").alias("n"))
+    categories = inv.where("categoria IS NOT NULL").groupBy(F.col("categoria").alias("name")).agg(F.count("*").alias("n"))
+    missing = dashboard.missing_files(inv, ("scheda.md",)).select(F.lit("srv").alias("area"), F.col("folder").alias("object"))
+    return dashboard.all_actions(dashboard.source_progress(inv, done), drafts_, categories, inv.where("categoria IS NULL"), missing)
+
+
 @query("Y4_confidence_label", with_ent("SELECT pk, CASE WHEN confidence < 0.4 THEN 'low' WHEN confidence < 0.7 THEN 'medium' ELSE 'high' END AS label FROM ent"))
 def y4(spark, sf_dir):
     return entities(spark, sf_dir).select("pk", dashboard.confidence_label(F.col("confidence")).alias("label"))
@@ -141,6 +160,12 @@ def w11(spark, sf_dir):
     return dashboard.throughput(runs(spark, sf_dir), "command", "id", "start_s")
 
 
+@query("W11_eta", with_runs("SELECT id, done, elapsed_s, CASE WHEN elapsed_s > 0 THEN done / elapsed_s END AS rate, CASE WHEN elapsed_s > 0 AND done < total THEN (total - done) / (done / elapsed_s) END AS eta_s FROM (SELECT id, row_number() OVER (PARTITION BY command ORDER BY id) AS done, start_s - min(start_s) OVER (PARTITION BY command ORDER BY id) AS elapsed_s, count(*) OVER (PARTITION BY command) AS total FROM runs)"))
+def w11_eta(spark, sf_dir):
+    rows = runs(spark, sf_dir)
+    return dashboard.eta(rows, rows.groupBy("command").agg(F.count("*").alias("total")), "command", "id", "start_s")
+
+
 # ---------------------------------------------------------------- entities
 
 FIELDS = ["nome", "piva", "settore", "note"]

@@ -116,6 +116,14 @@ def y10(spark, sf_dir):
     return inventory(spark, sf_dir).select("doc_id", X.mime_of(F.col("name")).alias("mime"))
 
 
+@query("Y10_mime_with_head", "SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN 'text/plain' ELSE CASE doc_id % 5 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'application/zip' WHEN 2 THEN 'image/jpeg' WHEN 3 THEN 'image/png' END END AS mime FROM documents")
+def y10b(spark, sf_dir):
+    k = F.col("doc_id")
+    head = F.when(k % 5 == 0, F.lit("%PDF-1.4").cast("binary")).when(k % 5 == 1, F.unhex(F.lit("504B03040A"))).when(k % 5 == 2, F.unhex(F.lit("FFD8FFE0"))).when(k % 5 == 3, F.unhex(F.lit("89504E470D0A1A0A00"))).otherwise(F.encode("text", "UTF-8"))
+    name = F.concat(F.lit("f"), k.cast("string"), F.when(k % 4 == 3, ".txt").when(k % 4 == 2, ".odd").otherwise(""))
+    return read_table(spark, sf_dir, "documents").select("doc_id", X.mime_with_head(name, head).alias("mime"))
+
+
 # ---------------------------------------------------------------- publishing
 
 DRAFT = "d AS (SELECT doc_id AS draft_id, CASE doc_id % 4 WHEN 0 THEN 'approved' WHEN 1 THEN 'edited' WHEN 2 THEN 'rejected' ELSE 'parked' END AS stato, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE concat('t', doc_id, '.md') END AS target, text, CASE WHEN doc_id % 4 = 1 THEN concat('edited ', doc_id) END AS edits FROM documents), e AS (SELECT concat('t', doc_id, '.md') AS target, concat('old ', doc_id) AS old FROM documents WHERE doc_id % 5 = 0)"

@@ -77,7 +77,7 @@ def x16(spark, sf_dir):
 
 @query("X18_sanitise", with_inv("SELECT DISTINCT name, regexp_replace(name, '[^A-Za-z0-9._-]+', '_', 'g') AS safe FROM inv"))
 def x18(spark, sf_dir):
-    return inventory(spark, sf_dir).select("name").distinct().select("name", F.regexp_replace("name", "[^A-Za-z0-9._-]+", "_").alias("safe"))
+    return inventory(spark, sf_dir).select("name").distinct().select("name", X.safe_name(F.col("name")).alias("safe"))
 
 
 @query("X19_hashes", "SELECT doc_id, sha256(text) AS sha256, substr(sha1(concat('p/', CAST(doc_id AS STRING))), 1, 16) AS path16 FROM documents")
@@ -85,6 +85,21 @@ def x19(spark, sf_dir):
     return read_table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.substring(F.sha1(F.concat(F.lit("p/"), F.col("doc_id").cast("string")).cast("binary")), 1, 16).alias("path16"))
 
 
+@query(
+    "X18_all_forms",
+    r"SELECT doc_id, regexp_replace(t, '[^A-Za-z0-9._-]+', '_', 'g') AS name, regexp_replace(t, '[^\p{L}\p{N}._-]', '_', 'g') AS part, CASE WHEN trim(regexp_replace(t, '[^\p{L}\p{N}._ -]', '_', 'g')) = '' THEN 'unnamed' ELSE trim(regexp_replace(t, '[^\p{L}\p{N}._ -]', '_', 'g')) END AS path, CASE WHEN t = '' THEN 'noid' ELSE regexp_replace(t, '[^\p{L}\p{N}_-]', '_', 'g') END AS id FROM (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN '' ELSE text END AS t FROM documents)",
+)
+def x18b(spark, sf_dir):
+    t = F.when(F.col("doc_id") % 10 == 0, "").otherwise(F.col("text"))
+    return read_table(spark, sf_dir, "documents").select("doc_id", X.safe_name(t).alias("name"), X.safe_part(t).alias("part"), X.safe_part(t, spaces=True).alias("path"), X.safe_id(t).alias("id"))
+
+
+@query("X19_marks", "SELECT doc_id, substr(sha1(encode(text)[1:1048576]), 1, 32) AS first, substr(sha256(encode(text)[1:262144] || encode(concat('p/', CAST(doc_id AS STRING)))), 1, 12) AS letter FROM documents")
+def x19b(spark, sf_dir):
+    raw = F.encode("text", "UTF-8")
+    return read_table(spark, sf_dir, "documents").select("doc_id", X.first_mark(raw).alias("first"), X.letter_mark(raw, F.concat(F.lit("p/"), F.col("doc_id").cast("string"))).alias("letter"))
+
+
 @query("X29_message_text", "SELECT conv_id, turn, concat_ws(chr(10), concat('Da: ', role), CASE WHEN turn % 2 = 0 THEN 'A: desk' END, concat('Oggetto: ', CAST(conv_id AS STRING)), '', text) AS body FROM conversations")
 def x29(spark, sf_dir):
     to = F.when(F.col("turn") % 2 == 0, "desk")

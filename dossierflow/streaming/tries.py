@@ -9,12 +9,11 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dossierflow.functions.text import letter_mark
 from dossierflow.session import written
 
 #: Tries, and seconds between them.
 TRIES, PAUSE = 3, 5.0
-#: Fixed value: dead letters are named by the hash of so many first bytes.
-HEAD_BYTES = 256 * 1024
 
 
 class Outcome(NamedTuple):
@@ -51,8 +50,8 @@ def with_tries(batch: DataFrame, number: int, work: Callable[[DataFrame, int], D
 
 
 def bury(dead: DataFrame, batch: DataFrame, number: int, folder: str, key: str = "path") -> None:
-    """Dead letters of a batch: `letters` with path, sha12 of the head, attempts, error and time, and `contents` with a copy."""
-    head = F.substring(F.sha2(F.substring("content", 1, HEAD_BYTES), 256), 1, 12).alias("sha12")
+    """Dead letters of a batch: `letters` with path, sha12 of head and path, attempts, error and time, and `contents` with a copy."""
+    head = letter_mark(F.col("content"), F.col(key)).alias("sha12")
     rows = dead.join(batch.select(key, "content"), key).select(key, head, "attempts", "error", F.current_timestamp().alias("at"), "content")
     rows.drop("content").write.mode("overwrite").json(f"{folder.rstrip('/')}/letters/batch={number}")
     rows.select("sha12", key, "content").write.mode("overwrite").parquet(f"{folder.rstrip('/')}/contents/batch={number}")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dossierflow.functions import text as X
-from dossierflow.operators import categorize, dedup, documents, incremental, objects, redaction
+from dossierflow.operators import categorize, dashboard, dedup, documents, incremental, objects, redaction
 
 def now():
     return F.timestamp_seconds(F.lit(1_750_000_000))
@@ -105,3 +105,15 @@ def test_chunks_by_heading(spark):
     text = "# A\n" + "x" * 100 + "\n# B\n" + "y" * 100
     got = documents.chunks(spark.createDataFrame([(1, text), (2, "short"), (3, None), (4, " ")], "doc_id long, text string"), 30).collect()
     assert sorted((r.doc_id, r.chunk_index, r.chunk[:3]) for r in got) == [(1, 0, "# A"), (1, 1, "# B"), (2, 0, "sho")]
+
+
+def test_actions_of_nothing_and_of_all_well(spark):
+    progress = spark.createDataFrame([("nas", 5, 5, 5)], "source string, discovered long, extracted long, categorized long")
+    named = lambda *rows: spark.createDataFrame(list(rows), "name string, n long")
+    notes, objects = spark.createDataFrame([], "path string"), spark.createDataFrame([], "area string, object string, need string")
+    ask = lambda *parts: [(r.place, r.action, r.n) for r in dashboard.all_actions(*parts).orderBy("place").collect()]
+    assert ask(progress.where("false"), named(), named(), notes, objects) == [(1, "scan", 0.0)]
+    assert ask(progress, named(("approved", 3)), named(("vivo", 4), ("da-chiarire", 1)), notes, objects) == [(8, "fine", 0.0)]
+    missing = spark.createDataFrame([("clienti", "a", "x"), ("clienti", "a", "y"), ("clienti", "b", "x")], objects.schema)
+    got = ask(progress.selectExpr("source", "discovered", "extracted - 2 AS extracted", "categorized"), named(("pending", 2)), named(("vivo", 3), ("da-chiarire", 1)), notes, missing)
+    assert got == [(2, "extract", 2.0), (4, "approve", 2.0), (5, "review-rules", 25.0), (7, "complete-objects", 2.0)]
