@@ -15,9 +15,11 @@ def cost_totals(calls: DataFrame) -> DataFrame:
 
 def source_progress(records: DataFrame, extracted: DataFrame) -> DataFrame:
     """Per source: discovered, extracted (its hash prefix is among `extracted`), categorized."""
-    done = extracted.select("sha12").distinct().withColumn("_done", F.lit(True))
-    marked = records.withColumn("sha12", F.substring("sha256", 1, 12)).join(done, "sha12", "left")
-    return marked.groupBy("source").agg(F.count("*").alias("discovered"), F.count("_done").alias("extracted"), F.count("categoria").alias("categorized"))
+    done = extracted.select("sha12").distinct().withColumn("_done", F.lit(1))
+    # Counted by prefix first, so records without a hash are a row a source in the join.
+    counted = records.groupBy("source", F.substring("sha256", 1, 12).alias("sha12")).agg(F.count("*").alias("_n"), F.count("categoria").alias("_c"))
+    marked = counted.join(done, "sha12", "left")
+    return marked.groupBy("source").agg(F.sum("_n").alias("discovered"), F.sum(F.when(F.col("_done").isNotNull(), F.col("_n")).otherwise(0)).alias("extracted"), F.sum("_c").alias("categorized"))
 
 
 def entity_rollup(entities: DataFrame) -> DataFrame:

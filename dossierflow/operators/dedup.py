@@ -48,7 +48,9 @@ def mark_duplicates(records: DataFrame, order: Column, group_missing: bool = Fal
     best = F.max_by(F.struct(record_id().alias("id"), order.alias("at")), F.struct(priority(F.col("source")), F.col("mtime"), -order)).alias("_best")
     groups = keyed.where("_key IS NOT NULL").groupBy("_key").agg(F.count("*").alias("_n"), best).where("_n > 1")
     role = F.when(F.col("_best").isNull(), "unique").when((record_id() == F.col("_best.id")) & (order == F.col("_best.at")), "canonical").otherwise("duplicate-of")
-    out = keyed.join(groups, "_key", "left").withColumns({"role": role, "canonical": F.when(role == "duplicate-of", F.col("_best.id"))})
+    # Records without a key go with keys of their own, which nothing equals, instead of all to one partition.
+    own = keyed.withColumn("_key", F.coalesce("_key", F.concat(F.lit("\0"), F.coalesce(record_id(), F.lit("")))))
+    out = own.join(groups, "_key", "left").withColumns({"role": role, "canonical": F.when(role == "duplicate-of", F.col("_best.id"))})
     return out.drop("_key", "_n", "_best")
 
 

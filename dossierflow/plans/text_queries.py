@@ -133,7 +133,9 @@ def j11(spark, sf_dir):
 @query("J13_snippets", with_inv("SELECT inv.doc_id, substr(d.text, 1, 500) AS snippet FROM inv LEFT JOIN (SELECT sha256(text) AS sha256, min(text) AS text FROM documents GROUP BY 1) d USING (sha256)"))
 def j13(spark, sf_dir):
     texts = read_table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("sha256")).agg(F.min("text").alias("text"))
-    return inventory(spark, sf_dir).join(texts, "sha256", "left").select("doc_id", F.substring("text", 1, 500).alias("snippet"))
+    # Records without a hash have keys of their own, so they don't meet in one partition.
+    keyed = inventory(spark, sf_dir).withColumn("sha256", F.coalesce("sha256", F.col("doc_id").cast("string")))
+    return keyed.join(texts, "sha256", "left").select("doc_id", F.substring("text", 1, 500).alias("snippet"))
 
 
 MENTIONS = "SELECT doc_id, trim(lower(unnest(regexp_extract_all(text, '[A-Z][a-z]{5,}')))) AS name FROM documents"
