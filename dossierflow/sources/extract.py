@@ -276,10 +276,10 @@ def attachments(mails: DataFrame) -> DataFrame:
 
 
 def html_to_text(pages: DataFrame, column: str = "html", out: str = "text") -> DataFrame:
-    """Adds the text of an HTML column, in Arrow batches."""
+    """Adds the text of an HTML column, in Arrow batches; null stays null."""
 
     @F.pandas_udf("string")
     def run(markup: pd.Series) -> pd.Series:
-        return markup.fillna("").map(html_text)
+        return markup.map(html_text, na_action="ignore")
 
     return pages.withColumn(out, run(F.col(column)))

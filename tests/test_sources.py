@@ -57,6 +57,24 @@ def test_html_text():
     assert extract.html_text("<h1>T</h1><script>x</script><p>a&amp;b <b>c</b></p><li>i") == "# T\n\na&b c\n\n- i"
 
 
+@pytest.mark.parametrize(
+    "markup,text",
+    [
+        ("", ""),
+        ("no tags &lt;here&gt; &egrave;&#233;&nbsp;x", "no tags <here> èé\xa0x"),
+        ("<!DOCTYPE html><!-- a <p>b</p> --><P>One<BR>two</P>", "One\ntwo"),
+        ("<div><div><div>a</div></div></div><div>b</div>", "a\n\nb"),
+        ("<ul><li>a<ul><li>b</li></ul></li></ul>", "- a\n\n- b"),
+        ('<a title="x > y">link</a><style>p{}</style><script>if (a<b) { "</p>" }</script>end', "linkend"),
+        ("<h2>Tit<em>ol</em>o</h2><p>  many \t spaces\nand lines  </p>", "## Titolo\n\nmany spaces\nand lines"),
+        ("<table><tr><td>1</td><td>2</td></tr><tr><td>3", "12\n\n3"),
+    ],
+)
+def test_html_golden_rows(spark, markup, text):
+    rows = spark.createDataFrame([(1, markup), (2, None)], "k int, html string")
+    assert {r.k: r.text for r in extract.html_to_text(rows).collect()} == {1: text, 2: None}
+
+
 def test_listings(spark, tmp_path):
     (tmp_path / "drive.json").write_text(json.dumps({"files": [{"id": "1", "name": "n", "mimeType": "text/plain", "size": "12", "modifiedTime": "2024-01-01T00:00:00Z", "parents": ["r"], "owners": [{"displayName": "D"}], "trashed": False}, {"id": "2", "trashed": True}, {"id": "3", "modifiedTime": "bad"}]}))
     got = {r.source_id: r for r in listings.drive_listing(spark, str(tmp_path / "drive.json")).collect()}
