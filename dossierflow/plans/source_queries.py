@@ -12,7 +12,9 @@ from dossierflow.plans.bridge import INV_SQL, NOW_S, inventory, with_inv
 from dossierflow.plans.registry import query
 from dossierflow.session import read_table, shared_folder
 from dossierflow.sources import paged, walk
+from dossierflow.sources.changes import changed_files
 from dossierflow.sources.stores import write_files
+from dossierflow.streaming.tries import with_tries
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -119,3 +121,36 @@ def a21(spark, sf_dir):
 def y17(spark, sf_dir):
     found = walk.estimate(spark, _tree(spark, sf_dir), EXCLUDES, cap_files=2**31 - 1, cap_seconds=1e6)
     return spark.createDataFrame([(found,)], "n long")
+
+
+# ---------------------------------------------------------------- streams
+
+
+@query(
+    "T1_T6_changed_files",
+    "SELECT concat('c', CAST(c_custkey AS STRING), '.txt') AS name, 'new' AS change, sha256(c_name) AS sha256 FROM customer UNION ALL SELECT concat('c', CAST(c_custkey AS STRING), '.txt'), 'changed', sha256(concat(c_name, '!')) FROM customer WHERE c_custkey % 3 = 0",
+)
+def t1(spark, sf_dir):
+    """A file for each customer; then every third changes, and the stream is started again from its checkpoint, twice."""
+    rows = read_table(spark, sf_dir, "customer")
+    inbox, out = _folder(spark, "inbox"), _folder(spark, "seen")
+    content = lambda df, text: df.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit(".txt")).alias("path"), F.encode(text, "UTF-8").alias("content"))
+    for rewritten in (rows, rows.where("c_custkey % 3 = 0"), None):
+        if rewritten is not None:
+            write_files(content(rewritten, F.col("c_name") if rewritten is rows else F.concat("c_name", F.lit("!"))), inbox)
+        stream = changed_files(spark, inbox, f"{out}-state").select("name", "change", F.sha2("content", 256).alias("sha256"))
+        keep = lambda df, number: df.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select("name", "change", "sha256")
+
+
+@query("T4_tries", "SELECT doc_id, CASE doc_id % 10 WHEN 3 THEN 3 WHEN 5 THEN 2 WHEN 7 THEN 3 ELSE 1 END AS attempts, CASE WHEN doc_id % 10 = 7 THEN 'boom 3' END AS error FROM documents")
+def t4(spark, sf_dir):
+    """Documents as a batch: some pass at the second or third try, some never."""
+
+    def work(rows, attempt):
+        fails = (F.col("doc_id") % 10 == 7) | ((F.col("doc_id") % 10 == 3) & F.lit(attempt < 3)) | ((F.col("doc_id") % 10 == 5) & F.lit(attempt < 2))
+        return rows.select("doc_id", F.when(fails, F.lit(f"boom {attempt}")).alias("error"))
+
+    done = with_tries(read_table(spark, sf_dir, "documents").select("doc_id"), 0, work, _folder(spark, "tries"), pause=0.0, key="doc_id")
+    return done.good.select("doc_id", F.col("attempts"), F.lit(None).cast("string").alias("error")).unionByName(done.dead.select("doc_id", "attempts", "error"))
