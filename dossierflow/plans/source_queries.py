@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossierflow.operators import runs
+from dossierflow.plans import entity_queries  # noqa: F401  (its SQL is used again)
 from dossierflow.plans.bridge import INV_SQL, NOW_S, inventory, with_inv
-from dossierflow.plans.registry import query
+from dossierflow.plans.registry import ORACLES, query
 from dossierflow.session import read_table, shared_folder
 from dossierflow.sources import paged, walk
 from dossierflow.sources.changes import changed_files
 from dossierflow.sources.stores import write_files
+from dossierflow.streaming.keyed import throttle
 from dossierflow.streaming.tries import with_tries
 
 
@@ -154,3 +156,20 @@ def t4(spark, sf_dir):
 
     done = with_tries(read_table(spark, sf_dir, "documents").select("doc_id"), 0, work, _folder(spark, "tries"), pause=0.0, key="doc_id")
     return done.good.select("doc_id", F.col("attempts"), F.lit(None).cast("string").alias("error")).unionByName(done.dead.select("doc_id", "attempts", "error"))
+
+
+@query("T2_throttle_stream", ORACLES["T2_throttle"])
+def t2_stream(spark, sf_dir):
+    """The throttle as keyed state over all events. Without batches for timers the stream ends when it has read all."""
+    out, setting = _folder(spark, "throttled"), "spark.sql.streaming.noDataMicroBatches.enabled"
+    events = read_table(spark, sf_dir, "events")
+    events.select("user_id", F.unix_timestamp("ts").cast("double").alias("at")).write.parquet(f"{out}-events")
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    try:
+        stream = throttle(spark.readStream.schema("user_id long, at double").parquet(f"{out}-events"), "user_id", "at", 86400.0)
+        keep = lambda df, number: df.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(setting, before)
+    return spark.read.parquet(out).where("NOT late").select("user_id", "at")
