@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dossierflow.sources.stores import read_files
+
 INVENTORY = "source string, source_id string, path string, name string, size long, mtime string, mime string, author string, sha256 string, categoria string, confidence double, reason string"
 
 
@@ -24,8 +26,8 @@ def scan_files(spark: SparkSession, root: str, source: str, max_mb: int = 100, w
 
 
 def read_vault(spark: SparkSession, root: str) -> DataFrame:
-    """(path, text) of every Markdown file below root."""
-    return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    """(path, text) of every Markdown file below root, listed and read in tasks."""
+    return read_files(spark, root, "*.md").select("path", F.col("content").cast("string").alias("text"))
 
 
 def read_inventory(spark: SparkSession, paths: str | list[str], strict: bool = False) -> DataFrame:
