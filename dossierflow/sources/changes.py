@@ -6,7 +6,8 @@ Spark's own file source takes a path once for all. Here each listing that finds
 next numbered list to `state` before Spark logs its number as the batch's offset, so a batch that is run again reads
 the same list, and a restart goes on from the checkpoint: no change comes twice or is lost. Lists that are committed are
 folded into one base file. `state` belongs to one query. The driver holds path, time and size of the files in the inbox;
-contents are read in tasks, about `chunk_bytes` each. `max_files` bounds a listing's changes; the rest comes with the next.
+contents are read in tasks, about `chunk_bytes` each and CHUNK_FILES files at most. `max_files` bounds the lines of a list: a
+listing that finds more writes several, all of them in one batch, so that a stream that stops at what is there leaves nothing.
 
 A file that goes leaves the state, so that it is new when it comes back; one that goes between listing and reading has no
 row. Folders named like editors' temporary files are not entered, such files left out, links not followed.
@@ -26,7 +27,7 @@ from dossierflow.sources.stores import children, opened
 
 SCHEMA = "path string, name string, size long, mtime timestamp, content binary, change string"
 _ARROW = pa.schema([("path", pa.string()), ("name", pa.string()), ("size", pa.int64()), ("mtime", pa.timestamp("us", tz="UTC")), ("content", pa.binary()), ("change", pa.string())])
-MAX_FILES, CHUNK_BYTES, FOLD_AFTER = 100_000, 64 << 20, 20
+MAX_FILES, CHUNK_BYTES, CHUNK_FILES, FOLD_AFTER = 100_000, 64 << 20, 5_000, 20
 
 
 def temporary(name: str) -> bool:
@@ -75,6 +76,8 @@ class ChangesReader(DataSourceStreamReader):
         self.options = {k.lower(): v for k, v in options.items()}
         self.known: dict[str, tuple[int, int]] | None = None
         self.version = 0
+        #: Version before the last listing: the lists behind it are one batch.
+        self.before = None
 
     # ------------------------------------------------------------ offsets, on the driver
 
@@ -114,11 +117,13 @@ class ChangesReader(DataSourceStreamReader):
                 else:
                     found[i.path] = (i.mtime_ns, i.size)
         lines = [[p, *v, "changed" if p in self.known else "new"] for p, v in sorted(found.items(), key=lambda x: (x[1][0], x[0])) if self.known.get(p) != v]
-        lines = lines[: int(self.options.get("max_files", MAX_FILES))]
         lines += [[p, 0, 0, "gone"] for p in sorted(self.known) if p not in found]
+        most = int(self.options.get("max_files", MAX_FILES))
         if lines:
-            lists.write("list", self.version + 1, lines)
-            self._apply(lines)
+            self.before = self.version
+        for k in range(0, len(lines), most):
+            lists.write("list", self.version + 1, lines[k : k + most])
+            self._apply(lines[k : k + most])
             self.version += 1
         return {"version": self.version}
 
@@ -132,11 +137,15 @@ class ChangesReader(DataSourceStreamReader):
         bases = lists.names("base")
         for path, time, size, _ in lists.read("base", bases[-1]) if bases else []:
             folded.known[path] = (time, size)
-        # The last one stays for a batch that is run again.
-        for number in done[:-1]:
+        # Those of the last listing stay for a batch that is run again.
+        own = self.before is not None and self.before < done[-1] <= self.version
+        old = [n for n in done[:-1] if not own or n <= self.before]
+        if not old:
+            return
+        for number in old:
             folded._apply(lists.read("list", number))
-        lists.write("base", done[-2], [[p, *v, "new"] for p, v in sorted(folded.known.items())])
-        for number in done[:-1]:
+        lists.write("base", old[-1], [[p, *v, "new"] for p, v in sorted(folded.known.items())])
+        for number in old:
             lists.drop("list", number)
         for number in bases:
             lists.drop("base", number)
@@ -151,7 +160,7 @@ class ChangesReader(DataSourceStreamReader):
         for line in latest.values():
             if line[3] == "gone":
                 continue
-            if held + line[2] > int(self.options.get("chunk_bytes", CHUNK_BYTES)):
+            if held + line[2] > int(self.options.get("chunk_bytes", CHUNK_BYTES)) or len(chunks[-1]) >= CHUNK_FILES:
                 chunks.append([])
                 held = 0
             chunks[-1].append(line)

@@ -68,6 +68,22 @@ def test_lists_fold_and_a_bound_leaves_the_rest(spark, tmp_path, monkeypatch):
     assert drain(spark, tmp_path) == [("f0.txt", "again", "changed")]
 
 
+def test_a_stream_that_stops_at_what_is_there_reads_it_all(spark, tmp_path):
+    for k in range(5):
+        put(f"{tmp_path}/in", f"f{k}.txt", str(k), 100 + k)
+    assert sorted(drain(spark, tmp_path, max_files="2")) == [(f"f{k}.txt", str(k), "new") for k in range(5)]
+
+
+def test_the_lists_of_the_last_listing_stay(tmp_path, monkeypatch):
+    monkeypatch.setattr(changes, "FOLD_AFTER", 3)
+    reader = changes.ChangesReader({"root": f"{tmp_path}/in", "state": f"{tmp_path}/state", "max_files": "2"})
+    for k in range(5):
+        put(f"{tmp_path}/in", f"f{k}.txt", str(k), 100 + k)
+    end = reader.latestOffset()
+    reader.commit(end)
+    assert sorted(x[0][-6:] for p in reader.partitions({"version": 0}, end) for x in p.value) == [f"f{k}.txt" for k in range(5)]
+
+
 def test_parts_are_cut_by_size(tmp_path):
     reader = changes.ChangesReader({"root": f"{tmp_path}/in", "state": f"{tmp_path}/state", "chunk_bytes": "10"})
     for k, n in enumerate((4, 4, 4, 30, 1)):
