@@ -119,12 +119,14 @@ def orphans(notes: DataFrame) -> DataFrame:
 
 def json_kind(document: Column, field: str) -> Column:
     """Kind of a field of a JSON text: boolean, integer, number, string, array, object or null; null if it is absent."""
-    found = F.schema_of_variant(F.try_variant_get(F.try_parse_json(document), f"$.{field}", "variant"))
+    return _kind(F.try_parse_json(document), field)
+
+
+def _kind(parsed: Column, field: str) -> Column:
+    """The same of a parsed document. The schema's first word tells the kind, so that it is worked out once."""
     kinds = (("BOOLEAN", "boolean"), ("BIGINT", "integer"), ("DECIMAL", "number"), ("DOUBLE", "number"), ("STRING", "string"), ("ARRAY", "array"), ("OBJECT", "object"), ("VOID", "null"))
-    out = F.lit(None).cast("string")
-    for prefix, kind in kinds:
-        out = F.when(F.startswith(found, F.lit(prefix)), kind).otherwise(out)
-    return out
+    word = F.regexp_extract(F.schema_of_variant(F.try_variant_get(parsed, f"$.{field}", "variant")), "^[A-Z]+", 0)
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in kinds for x in kv]), word)
 
 
 def infer_kinds(samples: DataFrame, document: str, fields: list[str]) -> DataFrame:
@@ -138,15 +140,20 @@ def validation_errors(document: Column, rules: dict[str, str], required: tuple[s
 
     An integer is a number too; a null passes unless the field is required.
     """
-    found = []
-    for field in sorted({*rules, *required}):
-        kind = json_kind(document, field)
-        if field in required:
-            found.append(F.when(kind.isNull(), f"{field}: missing"))
-        if field in rules:
-            fits = (kind == rules[field]) | ((kind == "integer") & F.lit(rules[field] == "number")) | ((kind == "null") & F.lit(field not in required))
-            found.append(F.when(kind.isNotNull() & ~fits, F.concat(F.lit(f"{field}: expected {rules[field]}, found "), kind)))
-    return F.array_compact(F.array(*found))
+    fields = sorted({*rules, *required})
+
+    def checked(parsed: Column) -> Column:
+        rows = [F.struct(F.lit(f).alias("field"), F.lit(rules.get(f)).cast("string").alias("asked"), F.lit(f in required).alias("must"), _kind(parsed, f).alias("kind")) for f in fields]
+        return F.array_compact(F.transform(F.array(*rows), error))
+
+    def error(e: Column) -> Column:
+        kind, asked = e["kind"], e["asked"]
+        fits = (kind == asked) | ((kind == "integer") & (asked == "number")) | ((kind == "null") & ~e["must"])
+        wrong = F.concat(e["field"], F.lit(": expected "), asked, F.lit(", found "), kind)
+        return F.when(kind.isNull() & e["must"], F.concat(e["field"], F.lit(": missing"))).when(kind.isNotNull() & asked.isNotNull() & ~fits, wrong)
+
+    # As a variable of a lambda the document is parsed once, and so is each kind.
+    return F.get(F.transform(F.array(F.try_parse_json(document)), checked), F.lit(0))
 
 
 def relabelled(partials: DataFrame, keys: list[str], order: str) -> DataFrame:

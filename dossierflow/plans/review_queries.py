@@ -9,7 +9,7 @@ from dossierflow.operators import dashboard, publish, redaction, review
 from dossierflow.operators.dedup import ordinals
 from dossierflow.plans.bridge import entities, inventory, runs, with_ent, with_inv, with_runs
 from dossierflow.plans.registry import query
-from dossierflow.session import read_table
+from dossierflow.session import read_table, spread
 
 DAY = "2025-06-15"
 
@@ -211,7 +211,7 @@ ERRORS = "concat_ws('|', CASE WHEN nome <> 'string' THEN concat('nome: expected
 
 @query("X39_validate", f"WITH {VALID} SELECT pk, {ERRORS} AS errors, CASE WHEN {ERRORS} <> '' THEN 0.5 ELSE 0.9 END::DOUBLE AS confidence FROM v")
 def x39b(spark, sf_dir):
-    rows = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("pk"), F.expr(JSON).alias("j")).withColumn("errors", review.validation_errors(F.col("j"), RULES))
+    rows = spread(read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("pk"))).withColumn("c_custkey", F.col("pk")).select("pk", F.expr(JSON).alias("j")).withColumn("errors", review.validation_errors(F.col("j"), RULES))
     return rows.select("pk", F.array_join("errors", "|").alias("errors"), review.penalised(F.lit(0.9), F.col("errors")).alias("confidence"))
 
 

@@ -66,3 +66,11 @@ def test_failing_model_gives_reasons(spark):
     assert got == {"k1": ("[]", None), "k5": ("[]", None), "k900": ("", "RuntimeError: no")}
     assert json.loads(asked.where(F.array_contains("ids", "k5")).first().prompt)[0]["name"] == "fine"
     assert sorted(len(r.ids) for r in model_stage.prompts(rows, ["name"], batch=2).collect()) == [1, 2]
+
+
+def test_a_document_is_parsed_once(spark):
+    rows = spark.createDataFrame([('{"nome": 1, "sconto": 2, "x": {"a": 1.5}}',), ("no json",), (None,)], "j string")
+    found = rows.select(review.validation_errors(F.col("j"), {"nome": "string", "sconto": "number", "x": "array"}).alias("e"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
+    missing = ["nome: missing", "tipo: missing"]
+    assert [r.e for r in found.collect()] == [["nome: expected string, found integer", "tipo: missing", "x: expected array, found object"], missing, missing]
