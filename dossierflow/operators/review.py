@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dossierflow.operators.dedup import ordinals
+
 #: Longest text that is a scalar, and longest preview of a structure.
 NARRATIVE_FROM, PREVIEW = 80, 80
 #: Folders of the types that have one note each.
@@ -90,21 +92,31 @@ def within_vault(target: Column) -> Column:
 def unique_targets(rows: DataFrame, existing: DataFrame, order: str) -> DataFrame:
     """`target` made free: a taken one gets the least -1, -2, ... that neither `existing` nor a row has.
 
-    Rows of one target are numbered in order, the first keeping a free target. Targets are per entity, so the rows of
-    one are few.
+    Rows of one target are numbered in order, the first keeping a free target. Of the numbers that are taken, u0 < u1 < ...,
+    u - i free ones lie below the i-th, so a row with n rows before it gets n plus the count of those with u - i <= n.
+    All three counts run over range partitions, whatever the number of rows of a target.
     """
     form = r"^(.*?)(?:-(\d+))?(\.[^./]*)$"
     base = F.concat(F.regexp_extract("target", form, 1), F.regexp_extract("target", form, 3))
     numbered = existing.select("target").unionByName(rows.select("target")).select(base.alias("target"), F.regexp_extract("target", form, 2).try_cast("long").alias("k"))
     plain = existing.select("target", F.lit(0).cast("long").alias("k"))
-    used = plain.unionByName(numbered.where("k IS NOT NULL")).groupBy("target").agg(F.collect_set("k").alias("_used"))
-    at = F.row_number().over(Window.partitionBy("target").orderBy(order)).cast("long")
-    joined = rows.withColumn("_at", at).join(used, "target", "left").withColumn("_used", F.coalesce("_used", F.array().cast("array<bigint>")))
-    # Among the first at + |used| numbers there are enough free ones.
-    free = F.array_except(F.sequence(F.lit(0).cast("long"), F.col("_at") + F.size("_used")), F.col("_used"))
-    k = F.get(free, (F.col("_at") - 1).cast("int"))
+    # Numbers of other targets are of no use.
+    used = plain.unionByName(numbered.where("k IS NOT NULL")).distinct().join(rows.select("target").distinct(), "target", "left_semi")
+    placed = _ranks(rows, ["target", order], "_nth")
+    below = _ranks(used, ["target", "k"], "_i").select("target", (F.col("k") - F.col("_i")).alias("_n"), F.lit(0).alias("_row"), "k")
+    asked = placed.select("target", F.col("_nth").alias("_n"), F.lit(1).alias("_row"), F.lit(None).cast("long").alias("k"))
+    counted = _ranks(below.unionByName(asked), ["target", "_n", "_row", "k"], "_all").where("_row = 1").select("target", F.col("_n").alias("_nth"), F.col("_all").alias("k"))
+    joined = placed.join(counted, ["target", "_nth"], "left")
+    k = F.col("k")
     renamed = F.regexp_replace("target", r"(\.[^./]*)$", F.concat(F.lit("-"), k.cast("string"), F.lit("$1")))
-    return joined.withColumn("target", F.when(k == 0, F.col("target")).otherwise(renamed)).drop("_at", "_used")
+    return joined.withColumn("target", F.when(k == 0, F.col("target")).otherwise(renamed)).select(*rows.columns)
+
+
+def _ranks(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Adds 0, 1, 2 ... among the rows of one target (the first key) in the order of `keys`."""
+    counted = ordinals(rows, keys, name)
+    first = counted.groupBy("target").agg(F.min(name).alias("_first"))
+    return counted.join(first, "target", "left").withColumn(name, F.col(name) - F.col("_first")).drop("_first")
 
 
 def orphans(notes: DataFrame) -> DataFrame:

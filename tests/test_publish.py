@@ -68,6 +68,15 @@ def test_failing_model_gives_reasons(spark):
     assert sorted(len(r.ids) for r in model_stage.prompts(rows, ["name"], batch=2).collect()) == [1, 2]
 
 
+def test_many_rows_of_one_target_build_no_list_each(spark):
+    rows = spark.range(3000).select("id", F.lit("d/a.md").alias("target"))
+    existing = spark.createDataFrame([("d/a.md",), ("d/a-2.md",), ("d/a-2.md",), ("d/a-1500.md",), ("d/b-7.md",)], "target string")
+    found = review.unique_targets(rows, existing, "id")
+    assert "sequence(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    free = [k for k in range(1, 3003) if k not in (2, 1500)]
+    assert {r.id: r.target for r in found.collect()} == {i: f"d/a-{free[i]}.md" for i in range(3000)}
+
+
 def test_a_document_is_parsed_once(spark):
     rows = spark.createDataFrame([('{"nome": 1, "sconto": 2, "x": {"a": 1.5}}',), ("no json",), (None,)], "j string")
     found = rows.select(review.validation_errors(F.col("j"), {"nome": "string", "sconto": "number", "x": "array"}).alias("e"))
