@@ -2,7 +2,8 @@
 
     spark.read.format("paged_service").option("root", uri).option("resources", "inbox,sent").load().where("at >= ...")
 
-A partition is a resource, whose pages are asked for one after the other, as such services demand. Filters on `resource`
+A partition is a resource, whose pages are asked for one after the other, as such services demand; where pages are
+numbered and the first one tells the last, it is SPLIT_PAGES of them. Filters on `resource`
 and `at` reach the reader: resources that are not asked for have no partition, and where a service lists its newest items
 first (`order` is newest-first) the reader stops at the first page that is wholly older. A page that leads back to a page
 already seen ends the resource with a row of problem `loop`; so does the bound on pages, with `page bound`. An item
@@ -28,10 +29,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull
 
 from dossierflow.session import settled
-from dossierflow.sources.stores import opened
+from dossierflow.sources.stores import opened, write_files
 
 #: Pages of a resource, waits and tries unless options say otherwise.
 MAX_PAGES, TRIES, LONGEST_WAIT = 1000, 3, 60.0
+#: Numbered pages of a partition.
+SPLIT_PAGES = 200
 SCHEMA = "resource string, page int, item_id string, at timestamp, item string, problem string"
 _ARROW = pa.schema([("resource", pa.string()), ("page", pa.int32()), ("item_id", pa.string()), ("at", pa.timestamp("us", tz="UTC")), ("item", pa.string()), ("problem", pa.string())])
 
@@ -112,7 +115,16 @@ class PagedReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         # Spark reads one empty partition where there is none.
-        return [InputPartition(r) for r in self.resources] or [InputPartition(None)]
+        return [InputPartition((r, *part)) for r in self.resources for part in self._parts(r)] or [InputPartition(None)]
+
+    def _parts(self, resource: str) -> list[tuple[int, int | None]]:
+        """First page of each partition and the one behind its last; the last partition goes on to the end."""
+        if self.options.get("paging") != "numbers" or (self.timed and self.options.get("order") == "newest-first"):
+            return [(1, None)]
+        last = self._fetch(self._transport(), f"resource={resource}/page=1").get("last_page")
+        most = int(self.options.get("max_pages", MAX_PAGES))
+        first = list(range(1, min(int(last), most) + 1, SPLIT_PAGES)) if last is not None else [1]
+        return list(zip(first or [1], [*first[1:], None], strict=True))
 
     # ------------------------------------------------------------ reading
 
@@ -130,14 +142,17 @@ class PagedReader(DataSourceReader):
                 time.sleep(min(max(e.seconds, 0.0), float(self.options.get("longest_wait", LONGEST_WAIT))))
         raise AssertionError
 
-    def _pages(self, resource: str) -> Iterator[tuple[int, list, str | None]]:
-        """Page number, items, and what ended the resource if that was not its last page."""
+    def _transport(self):
         module, _, name = self.options.get("transport", f"{__name__}:StoredPages").partition(":")
-        transport = getattr(importlib.import_module(module), name)(self.options)
+        return getattr(importlib.import_module(module), name)(self.options)
+
+    def _pages(self, resource: str, first: int, behind: int | None) -> Iterator[tuple[int, list, str | None]]:
+        """Page number, items, and what ended the resource if that was not its last page."""
+        transport = self._transport()
         numbered = self.options.get("paging") == "numbers"
         field, size = self.options.get("field", "value"), int(self.options.get("per_page", 50))
-        link, followed, ids = f"resource={resource}/page=1", set(), set()
-        for number in range(1, int(self.options.get("max_pages", MAX_PAGES)) + 1):
+        link, followed, ids = f"resource={resource}/page={first}", set(), set()
+        for number in range(first, int(self.options.get("max_pages", MAX_PAGES)) + 1):
             page = self._fetch(transport, link)
             items = page.get(field) or []
             following = page.get("next")
@@ -154,8 +169,12 @@ class PagedReader(DataSourceReader):
             if following is not None and following in followed:
                 yield number, items, "loop"
                 return
+            # A part that begins later knows no links before it: a page that is not the one asked for leads back.
+            if numbered and (first > 1 or behind) and int(page.get("current_page") or number) != number:
+                yield number, items, "loop"
+                return
             yield number, items, None
-            if following is None:
+            if following is None or number + 1 == behind:
                 return
             followed.add(following)
             link = following
@@ -166,7 +185,8 @@ class PagedReader(DataSourceReader):
             return
         field = self.options.get("time_field", "at")
         newest_first = self.options.get("order") == "newest-first"
-        for number, items, ended in self._pages(partition.value):
+        resource, first, behind = partition.value
+        for number, items, ended in self._pages(resource, first, behind):
             rows, seen, old = [], 0, 0
             for item in items:
                 if not isinstance(item, dict) or item.get("id") is None:
@@ -185,7 +205,7 @@ class PagedReader(DataSourceReader):
             if rows:
                 ids, times, texts, problems = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([partition.value] * len(rows)), pa.array([number] * len(rows), pa.int32()), pa.array(ids, pa.string()), pa.array(times, _ARROW.field("at").type), pa.array(texts, pa.string()), pa.array(problems, pa.string())],
+                    [pa.array([resource] * len(rows)), pa.array([number] * len(rows), pa.int32()), pa.array(ids, pa.string()), pa.array(times, _ARROW.field("at").type), pa.array(texts, pa.string()), pa.array(problems, pa.string())],
                     schema=_ARROW,
                 )
             if newest_first and seen and old == seen:
@@ -229,4 +249,5 @@ def write_pages(items: DataFrame, root: str, per_page: int = 50, numbered: bool
     following = F.concat(F.lit('"resource='), "resource", F.lit("/page="), (F.col("page") + 1).cast("string"), F.lit('"'))
     foot = F.concat(F.lit(',"current_page":'), F.col("page").cast("string"), F.lit(',"last_page":'), F.col("last").cast("string")) if numbered else F.concat(F.lit(',"next":'), F.when(F.col("page") < F.col("last"), following).otherwise("null"))
     text = F.concat(F.lit('{"value":'), "items", foot, F.lit("}"))
-    pages.join(numbers, ["resource", "mark"]).select("resource", "page", text.alias("value")).write.partitionBy("resource", "page").text(root)
+    place = F.concat(F.lit("resource="), "resource", F.lit("/page="), F.col("page").cast("string"), F.lit("/page.json"))
+    write_files(pages.join(numbers, ["resource", "mark"]).select(place.alias("path"), F.encode(text, "UTF-8").alias("content")), root)

@@ -73,3 +73,15 @@ def test_waits_and_gives_up(spark, tmp_path):
     assert len(rows(use(spark, "Busy", busy="2", state=f"{tmp_path}/a"))) == 2
     with pytest.raises(PySparkException, match="try again"):
         use(spark, "Busy", busy="3", state=f"{tmp_path}/b").collect()
+
+
+def test_numbered_pages_are_parts(spark, tmp_path, monkeypatch):
+    items = spark.range(45).select(F.lit("r").alias("resource"), F.timestamp_seconds("id").alias("at"), F.to_json(F.struct(F.col("id"))).alias("item"))
+    paged.write_pages(items, f"{tmp_path}/p", per_page=2, numbered=True)
+    monkeypatch.setattr(paged, "SPLIT_PAGES", 5)
+    options = {"root": f"{tmp_path}/p", "resources": "r", "paging": "numbers", "per_page": "2"}
+    parts = paged.PagedReader(options).partitions()
+    found = [i for p in parts for b in paged.PagedReader(options).read(p) for i in b.column(2).to_pylist()]
+    assert len(parts) >= 5 and sorted(map(int, found)) == list(range(45))
+    bound = paged.PagedReader(options | {"max_pages": "7"})
+    assert [b.column(5).to_pylist()[-1] for p in bound.partitions() for b in bound.read(p)] == [None] * 7 + ["page bound"]
