@@ -36,34 +36,42 @@ def filled(cells: DataFrame, keys: list[str]) -> DataFrame:
     return cells.where("text IS NOT NULL AND text <> '' AND row IS NOT NULL AND col IS NOT NULL").groupBy(*keys, "row", "col").agg(F.min("text").alias("text"))
 
 
-def runs(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, row, start, n: each longest run of neighbouring filled cells in a row."""
-    place = F.row_number().over(Window.partitionBy(*keys, "row").orderBy("col"))
-    return filled(cells, keys).withColumn("_island", F.col("col") - place).groupBy(*keys, "row", "_island").agg(F.min("col").alias("start"), F.count("*").alias("n")).drop("_island")
+def placed(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """The filled cells with header, start, n and stop: header row of their sheet, its columns, and the first row behind the table; null without one.
+
+    Cells are dealt out by sheet once; all that follows sorts within the tasks. A sheet with a null key has no header.
+    """
+    sheet = Window.partitionBy(*keys)
+    own = filled(cells.repartition(*keys), keys).withColumn("_island", F.col("col") - F.row_number().over(Window.partitionBy(*keys, "row").orderBy("col")))
+    run = Window.partitionBy(*keys, "row", "_island")
+    own = own.withColumns({"_start": F.min("col").over(run), "_n": F.count("*").over(run), "_rank": F.dense_rank().over(sheet.orderBy("row"))})
+    known = F.lit(True)
+    for k in keys:
+        known &= F.col(k).isNotNull()
+    best = F.min(F.when(known & (F.col("_n") >= HEADER_CELLS), F.struct("row", (-F.col("_n")).alias("n"), F.col("_start").alias("start"), F.col("_rank").alias("rank")))).over(sheet)
+    own = own.withColumn("_b", best)
+    # Rows go on without a gap as long as they and their ranks are equally far from the header.
+    joined = (F.col("row") >= F.col("_b.row")) & (F.col("row") - F.col("_b.row") == F.col("_rank") - F.col("_b.rank"))
+    own = own.withColumn("stop", F.max(F.when(joined, F.col("row") + 1)).over(sheet))
+    return own.select(*keys, "row", "col", "text", F.col("_b.row").alias("header"), F.col("_b.start").alias("start"), (-F.col("_b.n")).alias("n"), "stop")
+
+
+def _inside() -> Column:
+    return (F.col("row") >= F.col("header")) & (F.col("row") < F.col("stop")) & (F.col("col") >= F.col("start")) & (F.col("col") < F.col("start") + F.col("n"))
 
 
 def headers(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, header, start, n, stop: header row, its columns, and the first row behind the table."""
-    long = runs(cells, keys).where(F.col("n") >= HEADER_CELLS)
-    best = F.min_by(F.struct("row", "start", "n"), F.struct("row", -F.col("n"), "start"))
-    head = long.groupBy(*keys).agg(best.alias("b")).select(*keys, F.col("b.row").alias("header"), "b.start", "b.n")
-    # Rows of one sheet, of which its format allows a million: where do they first leave out a number?
-    by = Window.partitionBy(*keys).orderBy("row")
-    rows = filled(cells, keys).select(*keys, "row").distinct().join(head.select(*keys, "header"), keys).where("row >= header")
-    stop = rows.withColumn("_gap", F.col("row") - F.col("header") - F.row_number().over(by) + 1).where("_gap = 0").groupBy(*keys).agg((F.max("row") + 1).alias("stop"))
-    return head.join(stop, keys)
+    """keys, header, start, n, stop of the sheets that have a header."""
+    return placed(cells, keys).where("row = header AND col = start").select(*keys, "header", "start", "n", "stop")
 
 
 def tables(cells: DataFrame, keys: list[str]) -> DataFrame:
     """keys, line, place, name, text: the filled cells of each table by line (from 1) and column of the header."""
-    own = filled(cells, keys).join(headers(cells, keys), keys).where("row >= header AND row < stop AND col >= start AND col < start + n")
-    names = own.where("row = header").select(*keys, "col", F.col("text").alias("name"))
-    body = own.where("row > header").select(*keys, (F.col("row") - F.col("header")).alias("line"), "col", (F.col("col") - F.col("start")).alias("place"), "text")
-    return body.join(names, [*keys, "col"]).select(*keys, "line", "place", "name", "text")
+    name = F.max(F.when(F.col("row") == F.col("header"), F.col("text"))).over(Window.partitionBy(*keys, "col"))
+    own = placed(cells, keys).where(_inside()).withColumn("name", name).where("row > header")
+    return own.select(*keys, (F.col("row") - F.col("header")).alias("line"), (F.col("col") - F.col("start")).alias("place"), "name", "text")
 
 
 def free_cells(cells: DataFrame, keys: list[str]) -> DataFrame:
     """keys, address, text of the cells outside the tables."""
-    found = filled(cells, keys).join(headers(cells, keys), keys, "left")
-    inside = (F.col("row") >= F.col("header")) & (F.col("row") < F.col("stop")) & (F.col("col") >= F.col("start")) & (F.col("col") < F.col("start") + F.col("n"))
-    return found.where(~F.coalesce(inside, F.lit(False))).select(*keys, address(F.col("row"), F.col("col")).alias("address"), "text")
+    return placed(cells, keys).where(~F.coalesce(_inside(), F.lit(False))).select(*keys, address(F.col("row"), F.col("col")).alias("address"), "text")

@@ -107,23 +107,22 @@ LINES = "lines AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY
 
 def _sheet_cells(spark, sf_dir):
     orders, key = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sheet")), F.col("sheet")
-    cell = lambda rows, row, col, text: rows.select("sheet", row.cast("long").alias("row"), col.cast("long").alias("col"), text.alias("text"))
+    cell = lambda row, col, text: F.struct(row.cast("long").alias("row"), col.cast("long").alias("col"), text.alias("text"))
     k = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity"))
     items = read_table(spark, sf_dir, "lineitem").withColumn("k", k).withColumnRenamed("l_orderkey", "sheet").join(orders, "sheet", "left_semi")
-    head = orders.select("sheet", F.explode(F.map_from_arrays(F.array(*map(F.lit, (0, 2, 3, 4))), F.array(*map(F.lit, ("x", "parte", "pezzi", "importo"))))).alias("col", "text"))
-    parts = [
-        cell(orders, F.lit(0), F.lit(0), F.concat(F.lit("Ordine "), key.cast("string"))),
-        cell(head, F.lit(2), F.col("col"), F.col("text")),
-        cell(items, F.col("k") + 2, F.lit(2), F.when(F.col("k") % 2 != 0, F.col("l_partkey").cast("string"))),
-        cell(items, F.col("k") + 2, F.lit(3), F.col("l_quantity").cast("long").cast("string")),
-        cell(items, F.col("k") + 2, F.lit(4), F.col("l_linenumber").cast("string")),
-        cell(orders, F.lit(40), 27 + key % 3, F.lit("nota")),
-        cell(orders, F.lit(41), F.lit(3), F.lit("dopo")),
+    fixed = [
+        cell(F.lit(0), F.lit(0), F.concat(F.lit("Ordine "), key.cast("string"))),
+        *[cell(F.lit(2), F.lit(c), F.lit(t)) for c, t in ((0, "x"), (2, "parte"), (3, "pezzi"), (4, "importo"))],
+        cell(F.lit(40), 27 + key % 3, F.lit("nota")),
+        cell(F.lit(41), F.lit(3), F.lit("dopo")),
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    lines = [
+        cell(F.col("k") + 2, F.lit(2), F.when(F.col("k") % 2 != 0, F.col("l_partkey").cast("string"))),
+        cell(F.col("k") + 2, F.lit(3), F.col("l_quantity").cast("long").cast("string")),
+        cell(F.col("k") + 2, F.lit(4), F.col("l_linenumber").cast("string")),
+    ]
+    made = lambda rows, cells: rows.select("sheet", F.inline(F.array(*cells)))
+    return made(orders, fixed).unionByName(made(items, lines))
 
 
 @query("S21_W10_sheet_tables", f"WITH {LINES} SELECT l_orderkey AS sheet, k AS line, place, name, text FROM (SELECT l_orderkey, k, 0 AS place, 'parte' AS name, CASE WHEN k % 2 = 0 THEN NULL ELSE CAST(l_partkey AS STRING) END AS text FROM lines UNION ALL SELECT l_orderkey, k, 1, 'pezzi', CAST(CAST(l_quantity AS BIGINT) AS STRING) FROM lines UNION ALL SELECT l_orderkey, k, 2, 'importo', CAST(l_linenumber AS STRING) FROM lines) WHERE text IS NOT NULL")

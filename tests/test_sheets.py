@@ -96,3 +96,9 @@ def test_workbooks_as_cells(spark):
     text = extract._xlsx(raw)[0]
     assert text == "## Foglio S\n\n| a | b | c |\n| --- | --- | --- |\n| 1 |  |  |\n\n- dopo\n\n- x"
     assert "_201 righe oltre le prime 1000 non mostrate_" in extract._xlsx(long)[0]
+
+
+def test_cells_are_dealt_out_once(spark):
+    cells = spark.createDataFrame([("s", 0, 0, "a")], "sheet string, row long, col long, text string")
+    for found in (sheets.tables(cells, ["sheet"]), sheets.free_cells(cells, ["sheet"])):
+        assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
