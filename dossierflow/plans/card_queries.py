@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from dossierflow.operators import cards, sheets
 from dossierflow.plans.registry import query
 from dossierflow.plans.source_queries import _folder
-from dossierflow.session import read_table
+from dossierflow.session import read_table, spread
 from dossierflow.sources import files
 from dossierflow.sources.stores import write_files
 
@@ -32,9 +32,10 @@ def k7(spark, sf_dir):
     # As VARIANT, as merges leave it: keys sorted.
     fields = F.to_json(F.parse_json(F.to_json(made, {"ignoreNullFields": "false"})))
     body = F.when(k % 3 == 0, F.lit("\n")).otherwise(F.concat(F.lit("\n\n# "), "c_name", F.lit("\n\n")))
-    rows = read_table(spark, sf_dir, "customer").select(F.lit("cliente").alias("kind"), F.concat(F.lit("c"), k.cast("string")).alias("slug"), fields.alias("fields"), body.alias("body"))
+    # Dealt out before the fields are made, which takes longer than the reading.
+    rows = spread(read_table(spark, sf_dir, "customer")).select(F.lit("cliente").alias("kind"), F.concat(F.lit("c"), k.cast("string")).alias("slug"), fields.alias("fields"), body.alias("body"))
     root = _folder(spark, "cards")
-    cards.write_cards(rows, root)
+    cards.write_cards(rows, root, dealt=True)
     return files.read_vault(spark, root).select(F.regexp_extract("path", "(clienti/.*)$", 1).alias("path"), "text")
 
 
