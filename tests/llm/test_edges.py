@@ -223,7 +223,7 @@ def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
     table = spark.createDataFrame([(i, t, "en") for i, t in enumerate(words)], "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(7000)], "doc_id long, toxic int")
     seen, inner = [], toxicity._round
-    monkeypatch.setattr(toxicity, "RATES", (0.02,))
+    monkeypatch.setattr(toxicity, "FEW_PASSES", (2,))
     monkeypatch.setattr(toxicity, "_round", lambda net, live, rows, *rest: seen.append((rows.count(), rows.select("part").distinct().count())) or inner(net, live, rows, *rest))
     everything = table.union(table).repartition(7)
     model = toxicity.train(everything, labels)
