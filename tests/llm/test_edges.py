@@ -450,6 +450,49 @@ def test_line_links_of_the_table_against_brute_force(spark):
     assert len(want) > 20 and found >= 0.9 * len(want)
 
 
+def test_line_links_are_whole(spark):
+    """Lines of all lengths, one letter in seven changed so that no block is left, and many like lines under the same blocks: links are those of all pairs."""
+    rng = random.Random(23)
+
+    def distance(a, b):
+        prev = list(range(len(b) + 1))
+        for i, c in enumerate(a, 1):
+            cur = [i]
+            for j, d in enumerate(b, 1):
+                cur.append(min(prev[j] + 1, cur[-1] + 1, prev[j - 1] + (c != d)))
+            prev = cur
+        return prev[-1]
+
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqr") for _ in range(rng.randrange(2, 9)))
+    lines = ["abcdefg", "abcdefh", "abcdef", "abcde", "abcdx"]
+    for size in [10, 30, 60, 75, 150, 170, 250, 310, 340, 500, 700, 1300]:
+        a = " ".join(word() for _ in range(size))[:size].strip() + "z"
+        lines += [a, "".join("y" if k % 7 == 3 and c != " " else c for k, c in enumerate(a))]
+    for k in range(12):
+        head = " ".join(word() for _ in range(30))[:100]
+        lines += [f"{head} {''.join(rng.choice('stuvwxyz') for _ in range(rng.randrange(22, 30)))}" for _ in range(10)]
+    lines = list(dict.fromkeys(lines))
+    group = list(range(len(lines)))
+    for j, b in enumerate(lines):
+        for i, a in enumerate(lines[:j]):
+            limit = int(max(len(a), len(b)) * 0.15 + 1e-9)
+            if abs(len(a) - len(b)) <= limit and group[i] != group[j] and distance(a, b) <= limit:
+                group = [min(group[i], group[j]) if g in (group[i], group[j]) else g for g in group]
+    table = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(table).collect()}
+    assert got == {k: int(g != k) for k, g in enumerate(group)} and sum(got.values()) > 12
+    blocks = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(table, exact=False).collect()}
+    assert all(blocks[k] <= got[k] for k in got) and sum(blocks.values()) < sum(got.values())
+
+
+def test_line_chunks_hold_every_line_once(spark):
+    lengths = [64] * 3 + [65] * 9 + [66, 67, 67, 90]
+    table = spark.createDataFrame(list(enumerate(lengths)), "id long, chars int")
+    chunks = line_dedup._chunks([(65, 9), (66, 1), (67, 2), (90, 1)], 4)
+    held = [table.where(f"chars BETWEEN {a} AND {b} AND pmod(xxhash64(id), {parts}) = {part}").collect() for a, b, parts, part in chunks]
+    assert sorted(r.id for h in held for r in h) == list(range(3, 16)) and len(chunks) == 4
+
+
 def test_line_edit_distance_after_trimming(spark):
     rng = random.Random(9)
 
