@@ -75,6 +75,13 @@ def test_pipeline(spark, sf):
     assert set(clean) == {r.doc_id for r in final}
 
 
+def test_pipeline_links_lines_without_a_common_block(spark, sf):
+    line = "and the reingsh esing thlyre or in of the that oferor inin onwh and nd antione andre erednd ouin"
+    edited = "".join("y" if k % 7 == 3 and c != " " else c for k, c in enumerate(line))
+    docs = spark.createDataFrame([(1, line), (2, edited)], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in corpus_pipeline.unique_lines(spark, docs, sf).collect()} == {1: line, 2: ""}
+
+
 def test_pipeline_on_no_rows(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
