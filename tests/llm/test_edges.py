@@ -500,6 +500,22 @@ def test_line_links_are_whole(spark):
     assert all(blocks[k] <= got[k] for k in got) and sum(blocks.values()) < sum(got.values())
 
 
+def test_long_lines_pass_a_narrow_signature_first(spark, monkeypatch):
+    rng = random.Random(12)
+    lines = []
+    for k in range(6):
+        line = " ".join(rnd_words(rng, 160))[:900]
+        # As many edits as are allowed, spread over the whole line.
+        at = set(rng.sample(range(len(line)), int(len(line) * 0.15)))
+        lines += [line, "".join("#" if i in at else c for i, c in enumerate(line))]
+    names, cut = [], line_dedup.cut
+    monkeypatch.setattr(line_dedup, "cut", lambda df, name: names.append(name) or cut(df, name))
+    table = spark.createDataFrame([(i, len(x), i, x) for i, x in enumerate(lines)], "id long, chars int, component long, line string")
+    lengths = sorted({len(x): sum(len(y) == len(x) for y in lines) for x in lines}.items())
+    got = {tuple(sorted(r)) for r in line_dedup._unlinked(table, lengths, 512, 4).collect()}
+    assert {(i, i + 1) for i in range(0, 12, 2)} <= got and "lines-gated" in names
+
+
 def test_line_chunks_hold_every_line_once(spark):
     lengths = [64] * 3 + [65] * 9 + [66, 67, 67, 90]
     table = spark.createDataFrame(list(enumerate(lengths)), "id long, chars int")
