@@ -136,7 +136,9 @@ def t1(spark, sf_dir):
     """A file for each customer; then every third changes, and the stream is started again from its checkpoint, twice."""
     rows = read_table(spark, sf_dir, "customer")
     inbox, out = _folder(spark, "inbox"), _folder(spark, "seen")
-    content = lambda df, text: df.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit(".txt")).alias("path"), F.encode(text, "UTF-8").alias("content"))
+    # In folders of a thousand, as stores other than local ones list a folder as a whole.
+    place = F.concat(F.expr("CAST(c_custkey DIV 1000 AS STRING)"), F.lit("/c"), F.col("c_custkey").cast("string"), F.lit(".txt"))
+    content = lambda df, text: df.select(place.alias("path"), F.encode(text, "UTF-8").alias("content"))
     for rewritten in (rows, rows.where("c_custkey % 3 = 0"), None):
         if rewritten is not None:
             write_files(content(rewritten, F.col("c_name") if rewritten is rows else F.concat("c_name", F.lit("!"))), inbox)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import errno
 import os
 import re
-from collections.abc import Iterator
+import stat
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from fnmatch import fnmatchcase
 from urllib.parse import quote
@@ -31,23 +34,39 @@ class Listed:
     mtime_ns: int
 
 
-def children(store: fs.FileSystem, folder: str) -> list[Listed]:
-    """What lies in a folder, links left out; a folder that can't be read or has gone has nothing."""
-    try:
-        found = store.get_file_info(fs.FileSelector(folder, recursive=False))
-    except OSError:
-        return []
-    local = isinstance(store, fs.LocalFileSystem)
-    rows = []
-    for i in found:
-        if i.type == fs.FileType.NotFound or (local and _is_link(i.path)):
+def _listed(store: fs.FileSystem, folder: str) -> Iterator[Listed]:
+    """What lies in a folder, links left out; local entries as they come, others as one list."""
+    if not isinstance(store, fs.LocalFileSystem):
+        for i in store.get_file_info(fs.FileSelector(folder, recursive=False)):
+            if i.type != fs.FileType.NotFound:
+                yield Listed(i.path, i.type == fs.FileType.Directory, i.size or 0, i.mtime_ns or 0)
+        return
+    with os.scandir(folder) as found:
+        for e in found:
+            with contextlib.suppress(FileNotFoundError):
+                info = e.stat(follow_symlinks=False)
+                if not stat.S_ISLNK(info.st_mode):
+                    yield Listed(e.path, stat.S_ISDIR(info.st_mode), info.st_size, info.st_mtime_ns)
+
+
+def files(store: fs.FileSystem, folder: str, skipped: Callable[[str], bool]) -> Iterator[Listed]:
+    """The files of a folder tree in any order, but for links and what has `skipped` names; a folder that can't be read or has gone has nothing."""
+    open_ = [_listed(store, folder)]
+    while open_:
+        try:
+            found = next(open_[-1], None)
+        except OSError as e:
+            if e.errno in (errno.EMFILE, errno.ENFILE):
+                raise
+            found = None
+        if found is None:
+            open_.pop()
+        elif skipped(found.path.rpartition("/")[2]):
             continue
-        rows.append(Listed(i.path, i.type == fs.FileType.Directory, i.size or 0, i.mtime_ns or 0))
-    return sorted(rows, key=lambda r: r.path)
-
-
-def _is_link(path: str) -> bool:
-    return os.path.islink(path)
+        elif found.is_dir:
+            open_.append(_listed(store, found.path))
+        else:
+            yield found
 
 
 def write_files(rows: DataFrame, root: str, dealt: bool = False) -> int:

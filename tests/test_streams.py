@@ -2,7 +2,9 @@
 
 import json
 import os
+import pickle
 import time
+import tracemalloc
 
 import pytest
 from pyspark.errors import PySparkException
@@ -94,6 +96,56 @@ def test_parts_are_cut_by_size(tmp_path):
     assert [b.num_rows for p in reader.partitions({"version": 0}, end) for b in reader.read(p)] == [1, 1, 1, 1]
 
 
+def test_the_driver_holds_no_more_for_more_files(tmp_path, monkeypatch):
+    """What listing and planning hold, and what partitions carry, is the same for five times the files."""
+    for name, value in (("SORT_ROWS", 200), ("SPOOLED", 10), ("MERGED", 10)):
+        monkeypatch.setattr(changes, name, value, raising=False)
+    held, carried = [], []
+    for n in (2000, 10_000):
+        box = f"{tmp_path}/in{n}"
+        for k in range(n):
+            put(box, f"{k % 10}/f{k}.txt", "", 100 + k)
+        seen = []
+        for turn in range(2):
+            reader = changes.ChangesReader({"root": box, "state": f"{tmp_path}/state{n}"})
+            tracemalloc.start()
+            end = reader.latestOffset()
+            parts = reader.partitions({"version": 0}, end)
+            seen.append(tracemalloc.get_traced_memory()[1])
+            tracemalloc.stop()
+            assert end == {"version": 1} and len({x[0] for p in parts for x in p.value}) == n
+        held.append(max(seen))
+        carried.append(sum(len(pickle.dumps(p)) for p in parts) / len(parts))
+    assert held[1] < 2 * held[0] and carried[1] < 1.1 * carried[0]
+
+
+def test_lists_are_sorted_in_files_and_the_last_word_counts(tmp_path, monkeypatch):
+    """Three listings read as one batch, with names that break lines."""
+    monkeypatch.setattr(changes, "SORT_ROWS", 2, raising=False)
+    monkeypatch.setattr(changes, "MERGED", 2, raising=False)
+    box, options = f"{tmp_path}/in", {"root": f"{tmp_path}/in", "state": f"{tmp_path}/state", "max_files": "3"}
+    names = [f"f{k}.txt" for k in range(7)] + ["a\nb", "c\u2028d", "e\rf"]
+    for k, name in enumerate(names):
+        put(box, name, "x", 100 + k)
+    first = changes.ChangesReader(options).latestOffset()
+    assert first == {"version": 4}
+    put(box, "f1.txt", "new", 500)
+    os.remove(f"{box}/f2.txt")
+    os.remove(f"{box}/f3.txt")
+    assert changes.ChangesReader(options).latestOffset() == {"version": 5}
+    put(box, "f3.txt", "back", 600)
+    reader = changes.ChangesReader(options)
+    end = reader.latestOffset()
+    lines = lambda start: {x[0].removeprefix(f"{box}/"): (x[1] // 10**9, x[3]) for p in reader.partitions({"version": start}, end) for x in p.value}
+    rest = {n: (100 + k, "new") for k, n in enumerate(names) if n not in ("f1.txt", "f2.txt", "f3.txt")}
+    assert end == {"version": 6} and lines(0) == rest | {"f1.txt": (500, "changed"), "f3.txt": (600, "new")}
+    assert lines(4) == {"f1.txt": (500, "changed"), "f3.txt": (600, "new")} and lines(5) == {"f3.txt": (600, "new")}
+    monkeypatch.setattr(changes, "FOLD_AFTER", 3)
+    reader.commit(end)
+    assert changes._Lists(options["state"]).names("batch") == [] and changes._Lists(options["state"]).names("base") == [5]
+    assert changes.ChangesReader(options).latestOffset() == {"version": 6}
+
+
 # ---------------------------------------------------------------- keyed state
 
 
