@@ -192,6 +192,19 @@ def test_bpe_on_every_code_point():
         assert own.encode(texts) == want
 
 
+def test_lines_are_compared_by_one_code_for_all_chunks(spark, monkeypatch):
+    """The lines of a chunk reach the join through an exchange: its code names no lengths, and all similar pairs are found."""
+    plans, cut = [], line_dedup.cut
+    monkeypatch.setattr(line_dedup, "cut", lambda df, name: plans.append((name, df._jdf.queryExecution().sparkPlan().toString())) or cut(df, name))
+    monkeypatch.setattr(line_dedup, "CHUNK_BYTES", 1)
+    rows = [(i, 20 + i % 2, i, f"{'abcdefghij'[i // 2] * 20}{'x' * (i % 2)}") for i in range(6)]
+    lines = spark.createDataFrame(rows, "id long, chars int, component long, line string")
+    found = line_dedup._unlinked(lines, [(20, 3), (21, 3)], 8, 3)
+    assert {(r.a, r.b) for r in found.collect()} == {(0, 1), (2, 3), (4, 5)}
+    joins = [p for n, p in plans if n == "lines-unlinked"]
+    assert len(joins) == 6 and all("Exchange RoundRobinPartitioning" in p or "Repartition" in p or "REPARTITION_BY_NUM" in p for p in joins)
+
+
 # ---------------------------------------------------------------- 4, 5
 
 
